@@ -50,17 +50,17 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn("_q_starts", F.expr(f"sort_array(transform({again}, x -> x.i))"))
     covered = f"aggregate(transform(_q_starts, (s, k) -> if(k = size(_q_starts) - 1, {WINDOW}, least({WINDOW}, _q_starts[least(k + 1, size(_q_starts) - 1)] - s))), 0L, (a, b) -> a + b)"
     same = "size(filter(transform(_q_hash, (h, i) -> i > 0 and _q_hash[greatest(i, 1) - 1] = h), x -> x))"
-    return step.withColumns(
-        {
-            "n_words": F.size("_q_words").cast("long"),
-            "word_chars": F.char_length(F.array_join("_q_words", "")).cast("long"),
-            "n_symbols": F.char_length(F.regexp_replace(text, f"[^{SYMBOLS}]", "")).cast("long"),
-            "n_lines": F.size("_q_lines").cast("long"),
-            "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-            "n_repeat_words": F.expr(covered).cast("long"),
-            "n_same_next": F.expr(same).cast("long"),
-        }
-    ).select(*docs.columns, *BASE, "n_lines", "n_same_next")
+    counts = {
+        "n_words": F.size("_q_words").cast("long"),
+        "word_chars": F.char_length(F.array_join("_q_words", "")).cast("long"),
+        "n_symbols": F.char_length(F.regexp_replace(text, f"[^{SYMBOLS}]", "")).cast("long"),
+        "n_lines": F.size("_q_lines").cast("long"),
+        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+        "n_repeat_words": F.expr(covered).cast("long"),
+        "n_same_next": F.expr(same).cast("long"),
+    }
+    # As one generated row, for a filter on the counts must not be pushed into the expressions and repeat them.
+    return step.select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(k) for k, c in counts.items()]))))
 
 
 def base_failed() -> Column:
@@ -152,12 +152,14 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, settings: Settings, id_c
 class _Learner:
     def __init__(self, rows: DataFrame, settings: Settings) -> None:
         self.settings, names = settings, list(features())
-        probs = [k / settings.bins for k in range(1, settings.bins)]
+        probs = [k / settings.bins for k in range(settings.bins + 1)]
         found = rows.withColumns(features()).agg(
             *[F.percentile_approx(c, probs, 10_000).alias(f"all_{c}") for c in names],
             *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(c)), probs, 10_000).alias(f"bad_{c}") for c in names],
         ).first()
-        self.cuts = {c: sorted({float(x) for side in ("all", "bad") for x in (found[f"{side}_{c}"] or [])}) for c in names}
+        # Thresholds lie halfway between neighbouring quantiles, so a gap between the classes is split in its middle.
+        seen = {c: sorted({float(x) for side in ("all", "bad") for x in (found[f"{side}_{c}"] or [])}) for c in names}
+        self.cuts = {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in seen.items()}
         bin_of = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in self.cuts[c]]), lambda x: F.col(c) > x)) if self.cuts[c] else F.lit(0)
         binned = rows.withColumns(features()).select("bad", "prune", *[bin_of(c).alias(c) for c in names])
         # Rows that fall into the same bins are alike to every candidate: keep one with its count.
