@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import line_dedup, quality_rules
+from spindrift.llm import line_dedup, packing, quality_rules, token_counts, token_io
 from spindrift.llm.common import table
 
 
@@ -34,5 +34,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op8_quality_rules": op8_quality_rules}
+def op4_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_io.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_token_io": op4_token_io,
+    "op6_packing": op6_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL}
