@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, token_counts, token_io
+from spindrift.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, token_counts, token_io
 from spindrift.llm.common import settle, table
 
 
@@ -38,6 +38,10 @@ def op4_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), jaccard_join.Similar(n=4, percent=85))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_token_io": op4_token_io,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
