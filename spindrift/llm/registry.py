@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, token_counts, token_io
+from spindrift.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, quality_rules, token_counts, token_io
 from spindrift.llm.common import settle, table
 
 
@@ -34,6 +34,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.round_trip(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_html_extract": op2_html_extract,
     "op4_token_io": op4_token_io,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
