@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, quality_rules, token_counts, token_io
+from spindrift.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, packing, pii, quality_rules, token_counts, token_io
 from spindrift.llm.common import settle, table
 
 
@@ -38,6 +38,11 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.round_trip(table(spark, sf_dir, "documents"))
 
@@ -91,6 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_extract": op2_html_extract,
+    "op3_pii": op3_pii,
     "op4_token_io": op4_token_io,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
