@@ -1 +1 @@
-
+"""Search operators over vector columns."""
