@@ -191,12 +191,13 @@ def _add_typed(name: str, factor: float) -> None:
         df = _vectors(spark, sf_dir).select("vec_id", F.expr(made).alias("t"))
         query = v.literal(float(round(x * factor)) if whole else x for x in _query(spark, sf_dir))
         df = df.select("vec_id", F.expr(v.distance("cast(t as array<double>)", query, "l2", "float8")).alias("distance"))
-        return df.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
+        # Squares of integers are whole numbers, and need no rounding.
+        return df if whole else df.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
     QUERIES[f"distance_{name}"] = typed
     cast = f"list_transform({{}}, lambda x: round_even(x * {factor}, 0))" if whole else "{}"
     squares = f"list_sum(list_transform(list_zip({cast.format(_E)}, {cast.format(_Q0)}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
-    ORACLE_SQL[f"distance_{name}"] = f"SELECT vec_id, round({squares}, 6) + 0.0 AS distance FROM embeddings"
+    ORACLE_SQL[f"distance_{name}"] = f"SELECT vec_id, {squares if whole else f'round({squares}, 6) + 0.0'} AS distance FROM embeddings"
 
 
 for _name, _factor in (("int1", 100), ("int2", 10_000), ("int4", 1_000_000), ("float8", 1)):
