@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -40,8 +42,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordBpe:
-    #: Chunks held at most; the table starts anew beyond that.
-    MAX_CHUNKS = 400_000
+    #: Chunks and stems held at most; the tables start anew beyond that.
+    MAX_CHUNKS, MAX_STEMS = 1_200_000, 600_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,45 +57,42 @@ class WordBpe:
 
     def _clear(self) -> None:
         self.chunks: dict[str, int] = {}
-        self.stems: dict[str, tuple[int, ...]] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint16), 0
-        self.starts, self.counts = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
+        self.stems: dict[str, bytes] = {}
+        #: Ids of all chunks one after the other, and where each chunk's ids begin; the last entry is the end.
+        self.flat, self.starts = array("H"), array("q", [0])
+        self.end = self._put(" ", struct.pack("H", END_ID))
 
-    def _stem(self, stem: str) -> tuple[int, ...]:
+    def _stem(self, stem: str) -> bytes:
         found = self.stems.get(stem)
         if found is None:
             text = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-            found = self.stems[stem] = tuple(t.id for t in self.model.tokenize(text))
+            ids = [t.id for t in self.model.tokenize(text)]
+            found = self.stems[stem] = struct.pack(f"{len(ids)}H", *ids)
         return found
 
-    def _whole(self, chunk: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+    def _whole(self, chunk: str) -> bytes:
+        return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def _add(self, chunk: str) -> int:
-        plain = _PLAIN(chunk)
-        if plain:
-            ids = self._stem(plain[1].lower())
-            if plain[2]:
-                ids += self.stems.get(plain[2]) or self.stems.setdefault(plain[2], self._whole(plain[2]))
-        else:
-            ids = self._whole(chunk)
+    def _put(self, chunk: str, ids: bytes) -> int:
         k = self.chunks[chunk] = len(self.chunks)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if k >= len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[k], self.counts[k] = self.used, len(ids)
-        self.used += len(ids)
+        self.flat.frombytes(ids)
+        self.starts.append(len(self.flat))
         return k
 
+    def _add(self, chunk: str) -> int:
+        plain = _PLAIN(chunk)
+        if not plain:
+            return self._put(chunk, self._whole(chunk))
+        ids = self._stem(plain[1].lower())
+        if plain[2]:
+            ids += self.stems.get(plain[2]) or self.stems.setdefault(plain[2], self._whole(plain[2]))
+        return self._put(chunk, ids)
+
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with END_ID after each text, and the number of each text's ids, that one included."""
-        if len(self.chunks) > self.MAX_CHUNKS:
+        if len(self.chunks) > self.MAX_CHUNKS or len(self.stems) > self.MAX_STEMS:
             self._clear()
         get, add = self.chunks.get, self._add
-        if not self.chunks:
-            self.end = self._end()
         rows: list[int] = []
         sizes = np.empty(len(texts), np.int64)
         for n, text in enumerate(texts):
@@ -107,20 +106,15 @@ class WordBpe:
             found.append(self.end)
             rows += found
             sizes[n] = len(found)
-        at = np.asarray(rows, np.int64)
-        counts = self.counts[at].astype(np.int64)
+        at, starts = np.array(rows, np.int64), np.frombuffer(self.starts, np.int64)
+        first = starts[at]
+        counts = starts[at + 1] - first
         ends = np.cumsum(counts)
-        where = np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        where = np.repeat(first - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.frombuffer(self.flat, np.uint16)[where]
         last = np.cumsum(sizes)
         per_text = np.diff(np.concatenate([[0], ends[last - 1]])) if len(texts) else np.empty(0, np.int64)
-        return self.flat[where], per_text
-
-    def _end(self) -> int:
-        """The row of the end id, under a key that no chunk has."""
-        k = self.chunks[" "] = len(self.chunks)
-        self.flat[self.used], self.starts[k], self.counts[k] = END_ID, self.used, 1
-        self.used += 1
-        return k
+        return ids, per_text
 
 
 _held: dict[str, WordBpe] = {}
