@@ -3,8 +3,9 @@
 Every block starts from an empty model and codes alone. In a block, tables keyed by the last id and by a hash of the
 last two guess the next id, each guess with a confidence that hits raise and misses lower. The pair of confidences
 selects adaptive probabilities of "the order-2 guess is right" and "the order-1 guess is right"; what remains of the
-range goes to the order-0 distribution of the id's upper byte, counted in the block, and then its lower byte follows.
-A carry-free 64-bit range coder turns these into 16-bit words.
+range goes to the order-0 distribution of the id's upper byte, counted in the block. A carry-free 64-bit range coder turns
+these choices into 16-bit words. The lower byte of an id that no guess met is close to uniform; it is kept as it is, in
+front of the words: u32 number of lower bytes, the lower bytes, the words.
 
 Blocks do not depend on each other, so the blocks of a call are coded side by side: step t codes id t of all
 of them with numpy operations over the blocks.
@@ -12,6 +13,7 @@ of them with numpy operations over the blocks.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -19,7 +21,7 @@ import numpy as np
 BLOCK = 4096
 _SLOTS = 4096
 _TOP, _LEAST = np.uint64(48), np.uint64(1 << 32)
-_U16, _U8 = np.uint64(16), np.uint64(8)
+_U16 = np.uint64(16)
 _MASK = np.uint64((1 << 32) - 1)
 #: Steps after which the order-0 distribution is renewed: often at first, then each 512.
 _RENEW = frozenset([32, 96, 224, *range(480, BLOCK, 512)])
@@ -73,13 +75,26 @@ class _Model:
         self.before, self.last = self.last, ids
 
 
-def _open(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Where the first word is settled, or the range too small: then it is cut so that it is."""
-    settled = ((low ^ (low + span)) >> _TOP) == 0
-    small = (span < _LEAST) & ~settled
-    if small.any():
-        span[small] = (~low[small] + np.uint64(1)) & _MASK
-    return np.flatnonzero(settled | small)
+def _open(low: np.ndarray, span: np.ndarray):
+    """Rounds of lanes whose first word is settled, or whose range is too small: then it is cut so that it is.
+
+    The caller takes the word; low and range move on after that.
+    """
+    lanes = None
+    while True:
+        a, b = (low, span) if lanes is None else (low[lanes], span[lanes])
+        settled = ((a ^ (a + b)) >> _TOP) == 0
+        small = (b < _LEAST) & ~settled
+        ready = np.flatnonzero(settled | small)
+        if not len(ready):
+            return
+        if small.any():
+            cut = np.flatnonzero(small) if lanes is None else lanes[small]
+            span[cut] = (~low[cut] + np.uint64(1)) & _MASK
+        lanes = ready if lanes is None else lanes[ready]
+        yield lanes
+        low[lanes] <<= _U16
+        span[lanes] <<= _U16
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -96,18 +111,12 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
     words, used = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def emit(low, span):
-        while len(k := _open(low, span)):
-            words[k, used[k]] = (low[k] >> _TOP).astype(np.uint16)
-            used[k] += 1
-            low[k] <<= _U16
-            span[k] <<= _U16
+    lower, held = np.zeros((lanes, steps), np.uint8), np.zeros(lanes, np.int64)
 
     closed = None
     for t in range(steps):
         if t == short and lanes > 1:
-            closed = (low[-1].copy(), used[-1].copy())
+            closed = (low[-1].copy(), used[-1].copy(), held[-1].copy())
         if t in _RENEW:
             model.renew()
         model.predict()
@@ -123,18 +132,18 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         part = span >> _U16
         low = low + part * start.astype(np.uint64)
         span = part * (end - start).astype(np.uint64)
-        emit(low, span)
-        plain = ~(hit1 | hit2)
-        part = span >> _U8
-        low = np.where(plain, low + part * (now & 255).astype(np.uint64), low)
-        span = np.where(plain, part, span)
-        emit(low, span)
+        for k in _open(low, span):
+            words[k, used[k]] = (low[k] >> _TOP).astype(np.uint16)
+            used[k] += 1
+        plain = np.flatnonzero(~(hit1 | hit2))
+        lower[plain, held[plain]] = now[plain] & 255
+        held[plain] += 1
         model.update(now, hit1, hit2)
-    ends = [(low[k], int(used[k])) for k in range(lanes)]
+    ends = [(low[k], int(used[k]), int(held[k])) for k in range(lanes)]
     if closed is not None:
-        ends[-1] = (closed[0], int(closed[1]))
-    tails = [[(int(x) >> s) & 0xFFFF for s in (48, 32, 16, 0)] for x, _ in ends]
-    return [np.concatenate([words[k, :u], np.array(tails[k], np.uint16)]).astype("<u2").tobytes() for k, (_, u) in enumerate(ends)]
+        ends[-1] = (closed[0], int(closed[1]), int(closed[2]))
+    tails = [[(int(x) >> s) & 0xFFFF for s in (48, 32, 16, 0)] for x, _, _ in ends]
+    return [struct.pack("<I", h) + lower[k, :h].tobytes() + np.concatenate([words[k, :u], np.array(tails[k], np.uint16)]).astype("<u2").tobytes() for k, (_, u, h) in enumerate(ends)]
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int]) -> np.ndarray:
@@ -142,10 +151,13 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> np.ndarray:
     lanes, steps = len(coded), max(sizes, default=0)
     if not steps:
         return np.empty(0, np.uint16)
-    lengths = [len(c) // 2 for c in coded]
-    words = np.zeros((lanes, max(lengths) + 2 * 8), np.uint64)
-    for k, c in enumerate(coded):
-        words[k, : lengths[k]] = np.frombuffer(c, "<u2")
+    plain_sizes = [struct.unpack_from("<I", c)[0] for c in coded]
+    lengths = [(len(c) - 4 - h) // 2 for c, h in zip(coded, plain_sizes)]
+    words, lower = np.zeros((lanes, max(lengths) + 2 * 8), np.uint64), np.zeros((lanes, max(plain_sizes) + 1), np.uint8)
+    for k, (c, h) in enumerate(zip(coded, plain_sizes)):
+        lower[k, :h] = np.frombuffer(c, np.uint8, h, 4)
+        words[k, : lengths[k]] = np.frombuffer(c, "<u2", lengths[k], 4 + h)
+    flat_lower, base_lower, end_lower, held = lower.reshape(-1), np.arange(lanes, dtype=np.int64) * lower.shape[1], lower.shape[1] - 1, np.zeros(lanes, np.int64)
     flat, base = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1]
     end = words.shape[1] - 1
     model = _Model(lanes)
@@ -154,13 +166,6 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> np.ndarray:
     used = np.full(lanes, 4, np.int64)
     out = np.zeros((steps, lanes), np.uint16)
 
-    def take(low, span, code):
-        while len(k := _open(low, span)):
-            code[k] = (code[k] << _U16) | flat[base[k] + np.minimum(used[k], end)]
-            used[k] += 1
-            low[k] <<= _U16
-            span[k] <<= _U16
-
     for t in range(steps):
         if t in _RENEW:
             model.renew()
@@ -177,14 +182,12 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> np.ndarray:
         stop = np.where(is2, model.f2, np.where(is1, model.f21, model.f21 + (model.rest * b >> 12)))
         low = low + part * start.astype(np.uint64)
         span = part * (stop - start).astype(np.uint64)
-        take(low, span, code)
-        plain = ~(is1 | is2)
-        part = np.maximum(span >> _U8, np.uint64(1))
-        lower = np.minimum((code - low) // part, np.uint64(255))
-        ids = np.where(is2, model.guess2, np.where(is1, model.guess1, (upper << 8) | lower.astype(np.int64)))
-        low = np.where(plain, low + part * lower, low)
-        span = np.where(plain, part, span)
-        take(low, span, code)
+        for k in _open(low, span):
+            code[k] = (code[k] << _U16) | flat[base[k] + np.minimum(used[k], end)]
+            used[k] += 1
+        byte = flat_lower[base_lower + np.minimum(held, end_lower)]
+        ids = np.where(is2, model.guess2, np.where(is1, model.guess1, (upper << 8) | byte))
+        held += ~(is1 | is2)
         out[t] = ids
         model.update(ids, model.guess1 == ids, model.guess2 == ids)
     whole = np.ascontiguousarray(out.T)
