@@ -37,7 +37,7 @@ MAGIC = b"SPMIXER\n"
 SHARD_IDS = 6_000_000
 NULL_ID = -(2**63)
 MANIFEST = "part int, shard int, path string, n_docs long, n_ids long"
-DOCUMENTS = "part int, shard int, doc_id long, local long, n_tokens long, ids_crc32 long"
+DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _filesystem(path: str):
@@ -47,10 +47,12 @@ def _filesystem(path: str):
 
 
 def shard_bytes(doc_ids: list[int], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    coded = encode_blocks(ids, BLOCK)
-    rows = [(len(part := ids[k * BLOCK : (k + 1) * BLOCK]), len(c), checksum(part), zlib.crc32(c)) for k, c in enumerate(coded)]
+    # The blocks of a shard are coded side by side, so a small shard takes shorter blocks rather than few.
+    block = min(BLOCK, max(256, 1 << (len(ids) // 1024).bit_length()))
+    coded = encode_blocks(ids, block)
+    rows = [(len(part := ids[k * block : (k + 1) * block]), len(c), checksum(part), zlib.crc32(c)) for k, c in enumerate(coded)]
     docs = zlib.compress(np.array(doc_ids, "<i8").tobytes() + np.asarray(sizes).astype("<u8").tobytes())
-    header = struct.pack("<IIQQ", BLOCK, len(coded), len(doc_ids), len(docs)) + np.array(rows, "<u4").tobytes() + docs
+    header = struct.pack("<IIQQ", block, len(coded), len(doc_ids), len(docs)) + np.array(rows, "<u4").tobytes() + docs
     return b"".join([MAGIC, struct.pack("<III", 1, len(header), zlib.crc32(header)), header, *coded])
 
 
@@ -62,12 +64,12 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     header = data[20 : 20 + size]
     if version != 1 or zlib.crc32(header) != crc:
         raise ValueError("the shard's header is damaged")
-    _, n_blocks, n_docs, table = struct.unpack_from("<IIQQ", header)
+    block, n_blocks, n_docs, table = struct.unpack_from("<IIQQ", header)
     rows = np.frombuffer(header, "<u4", n_blocks * 4, 24).reshape(-1, 4)
     docs = zlib.decompress(header[24 + 16 * n_blocks : 24 + 16 * n_blocks + table])
     doc_ids, sizes = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, "<u8", n_docs, 8 * n_docs).astype(np.int64)
     at, parts = 20 + size, []
-    lanes = max(1, SHARD_IDS // BLOCK)
+    lanes = max(1, SHARD_IDS // block)
     for first in range(0, n_blocks, lanes):
         own, coded = rows[first : first + lanes], []
         for k, (_, length, _, crc) in enumerate(own.tolist()):
@@ -135,20 +137,16 @@ def read_tokens(spark, shards: DataFrame, root: str) -> DataFrame:
                     doc_ids, sizes, ids = read_shard(f.read())
                 data, ends = ids.astype("<u4"), np.cumsum(sizes)
                 crcs = [zlib.crc32(data[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist())]
-                n = len(doc_ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["shard"], np.int32)), pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())],
-                    ["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(row["first"] + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, shards.count())
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each partition that wrote: that many meet in the unpartitioned window.
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("total"))
     firsts = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    starts = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("before")).join(firsts, "part").select("part", "shard", (F.col("first") + F.col("before")).alias("first"))
-    found = shards.repartition(n).mapInArrow(read, DOCUMENTS)
-    return found.join(starts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    starts = shards.select("part", "path", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("before")).join(firsts, "part").select("path", (F.col("first") + F.col("before")).alias("first"))
+    # What is joined and dealt out is the table of shards; documents come out of the files with their place.
+    return starts.repartition(n).mapInArrow(read, DOCUMENTS)
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
