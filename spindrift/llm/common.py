@@ -42,6 +42,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, added) -> DataFrame:
+    """The table without columns that an operator is about to add: the new ones take their place."""
+    names = {a.lower() for a in added}
+    return df.select(*[c for c in df.columns if c.lower() not in names])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is. ``lower`` does that, and fast, where a text is ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -9,7 +9,7 @@ The benchmark's size is measured first. Up to ``block_bytes`` of text it is broa
 about that size, each over all documents, and the ranges of all blocks are united.
 
 Defined cases: a null or empty text has no words and no hits; items without words match nothing; an item of fewer words than n
-is one window; repeated items count one by one; repeated rows, null ids and other columns stay as they are; empty tables are fine.
+is one window; repeated items count one by one; repeated rows, null ids and other columns stay as they are (but for columns named like an added one); empty tables are fine.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from spindrift.llm.common import settle
+from spindrift.llm.common import settle, without
 
 #: Bytes of a word: 0-9, a-z after folding A-Z, and all of other alphabets.
 _FOLD = bytes((b | 32) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -139,6 +139,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """Adds n_words, hits (begin and end of each range of hit words, in turn) and items (their ids as strings, sorted)."""
+    docs = without(docs, ("n_words", "hits", "items"))
     spark, found, names = docs.sparkSession, docs, docs.columns
     added = StructType().add("n_words", LongType()).add("hits", ArrayType(LongType())).add("items", ArrayType(StringType()))
 
@@ -170,6 +171,7 @@ def n_hit(hits: str = "hits"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", text_col: str = "text", **names) -> DataFrame:
     """Documents without contamination: those with a hit go (``documents``), or lose the hit words (``spans``)."""
+    docs = without(docs, ("n_words", "hits", "items"))
     found = find_hits(docs, benchmark, n, text_col, **names)
     if remove == "documents":
         return found.where(F.size("hits") == 0).select(*docs.columns)

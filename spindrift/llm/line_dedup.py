@@ -9,7 +9,7 @@ once, to meet its bitmap.
 
 Defined cases: a null or empty text is one empty line; short lines are never dropped; rows that share a document id
 count as one document, each with its own bitmap (by its text); a null id counts as the smallest id; other columns
-are carried along; an empty table gives an empty table.
+are carried along, but for those named like an added one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import BLANKS, ascii_lower, hash128, id_key
+from spindrift.llm.common import BLANKS, ascii_lower, hash128, id_key, without
 
 BITMAP = "array<struct<word:int,bits:bigint>>"
 
@@ -75,6 +75,7 @@ def dropped_positions(keep: str) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Documents with ``text_col`` rewritten, plus n_lines and n_dropped (long) and the bitmap ``keep`` (null: all stay)."""
+    docs = without(docs, ("n_lines", "n_dropped", "keep"))
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     met = _rows(docs, id_col, text_col).join(bitmaps, ["_ld_doc", "_ld_row"], "left")
     lost = met.withColumns({"_ld_lines": lines_of(F.col(text_col)), "_ld_lost": dropped_positions("keep")})

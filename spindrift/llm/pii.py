@@ -7,7 +7,7 @@ stretch overlap; each is decoded, and every character takes its tag from the win
 central, so one tag sequence for the whole text results. Its spans are added if they pass the check of their
 kind (digits, Luhn, form) and touch no base span.
 
-Defined cases: a null or empty text has no spans; repeated rows, null ids and extra columns stay as they are; an empty table, or
+Defined cases: a null or empty text has no spans; repeated rows, null ids and extra columns stay as they are (but for columns named like an added one); an empty table, or
 one without spans to learn from, gives base spans only.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from spindrift.llm.common import without
 from spindrift.llm.lstm_crf import Model, encode, pad, train
 
 KINDS = ("email", "ip", "card", "phone")
@@ -222,6 +223,7 @@ def shown(spans: list[Span]) -> str:
 
 def find_pii(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """All columns but the text, with n_email, n_ip, n_card, n_phone (long, base spans), base_spans and spans (strings)."""
+    docs = without(docs, (*[f"n_{k}" for k in KINDS], "base_spans", "spans"))
     model = model or learn(docs, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != text_col]

@@ -8,7 +8,7 @@ gives, so what reaches the driver has a fixed size. The list becomes nested ``wh
 
 Defined cases: a null or empty text has no words and fails the base rule; a null label row is left out of
 learning, as are labels without a document; rows that repeat count each time; with no labelled row of either class the
-list is empty, and only the base rule rejects; other columns are carried along.
+list is empty, and only the base rule rejects; other columns are carried along, but for those named like an added one.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import settle, words
+from spindrift.llm.common import settle, without, words
 
 #: Fixed values of the contract: symbols, window length, base limits.
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +35,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Windows are compared by 64-bit hashes within one text.
     """
+    docs = without(docs, (*BASE, "n_lines", "n_same_next"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.expr(r"transform(filter(_q_lines, x -> x rlike '[^ \\x09-\\x0D]'), x -> xxhash64(x))")
     step = docs.withColumns({"_q_words": words(text), "_q_lines": F.split(text, "\n", -1)})

@@ -8,7 +8,7 @@ or the leftmost alone where the merged symbol may start a pair of still lower ra
 without a pair leave the array. The count is the surviving symbols; a symbol outside the vocabulary counts its UTF-8 bytes.
 
 Defined cases: a null or empty text has no tokens and no bytes; strings that look like control symbols are plain text;
-repeated rows and null ids stay as they are; other columns are carried along; an empty table gives an empty table.
+repeated rows and null ids stay as they are; other columns are carried along, but for those named like an added one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from spindrift.llm.common import without
 from spindrift.llm.word_bpe import slices
 
 MARK = "▁"
@@ -149,6 +150,7 @@ def merger(path: str) -> PieceMerger:
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, text_col: str = "text") -> DataFrame:
     """Adds n_bytes, n_tokens (long) and over_limit."""
     path = model or default_model()
+    docs = without(docs, ("n_bytes", "n_tokens", "over_limit"))
     kept = [c for c in docs.columns if c != text_col]
 
     def count(batches):
