@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of all word and line contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,18 +37,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to shared storage and read it back: lineage ends here, and a lost executor loses nothing."""
+    """Write a DataFrame to shared storage and read it back: lineage ends here, and a lost executor loses nothing.
+
+    The shuffle files of the write are of no more use after it, and Spark is told to delete them then.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: it does so once the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def without(df: DataFrame, added) -> DataFrame:
     """The table without columns that an operator is about to add: the new ones take their place."""
     names = {a.lower() for a in added}
