@@ -32,8 +32,12 @@ class IvfIndex:
         if metric == "cosine":
             norm = F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))")
             points = points.withColumn("v", F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")))
-        model = KMeans(k=max(2, cells), maxIter=iterations, seed=seed, featuresCol="f").fit(points.select(array_to_vector("v").alias("f")))
-        centroids = np.array(model.clusterCenters())
+        if min(cells, total) < 2:
+            size = df.select(F.size(vector)).first()[0]
+            centroids = np.array([[points.agg(F.avg(F.get("v", F.lit(k)))).first()[0] for k in range(size)]])
+        else:
+            model = KMeans(k=min(cells, total), maxIter=iterations, seed=seed, featuresCol="f").fit(points.select(array_to_vector("v").alias("f")))
+            centroids = np.array(model.clusterCenters())
         assigned = df.withColumn("cell", cls._cell(centroids, metric)(F.col(vector).cast("array<double>")))
         if path:
             assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
