@@ -39,10 +39,14 @@ class IvfIndex:
             model = KMeans(k=min(cells, total), maxIter=iterations, seed=seed, featuresCol="f").fit(points.select(array_to_vector("v").alias("f")))
             centroids = np.array(model.clusterCenters())
         assigned = df.withColumn("cell", cls._cell(centroids, metric)(F.col(vector).cast("array<double>")))
-        if path:
-            assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
-            assigned = df.sparkSession.read.parquet(path)
-        return cls(assigned, centroids, metric, vector, id_col, kind)
+        return cls(cls._kept(assigned, path), centroids, metric, vector, id_col, kind)
+
+    @staticmethod
+    def _kept(assigned: DataFrame, path: str | None) -> DataFrame:
+        if path is None:
+            return assigned
+        assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
+        return assigned.sparkSession.read.schema(assigned.schema).parquet(path)
 
     @staticmethod
     def _cell(centroids: np.ndarray, metric: str):
@@ -71,12 +75,10 @@ class IvfIndex:
                 return nearest(probed.drop("cell"), query, k, self.metric, self.vector, self.id_col, self.kind)
             nprobe *= 2
 
-    def reconcile(self, data: DataFrame) -> IvfIndex:
-        """The index with rows of ``data`` that it lacks, and without those that ``data`` lacks."""
-        kept = self.rows.join(data.select(self.id_col), self.id_col, "left_semi")
-        new = data.join(self.rows.select(self.id_col), self.id_col, "left_anti")
-        added = new.withColumn("cell", self._cell(self.centroids, self.metric)(F.col(self.vector).cast("array<double>")))
-        return IvfIndex(kept.unionByName(added.select(kept.columns)), self.centroids, self.metric, self.vector, self.id_col, self.kind)
+    def reconcile(self, data: DataFrame, path: str | None = None) -> IvfIndex:
+        """The index of ``data`` as it is now: its rows, vectors and other columns, in cells around the same centroids."""
+        assigned = data.withColumn("cell", self._cell(self.centroids, self.metric)(F.col(self.vector).cast("array<double>")))
+        return IvfIndex(self._kept(assigned, path), self.centroids, self.metric, self.vector, self.id_col, self.kind)
 
 
 def recall(spark: SparkSession, index: IvfIndex, exact: DataFrame, queries: list[Sequence[float]], k: int, nprobe: int) -> float:

@@ -3,6 +3,11 @@
 A table is a folder: ``v=N`` holds snapshot N, ``manifest-N.json`` says what it is, and the manifest of the highest number is
 the current one. A commit writes the snapshot first and then creates its manifest, which fails if another writer has made
 it: so a commit is atomic, and a table has one writer at a time. All files go through the Hadoop file system of the session.
+
+A table of mode ``hnsw`` has an inverted-file index, which knows the snapshot that it covers. A search of another
+snapshot (after a change, a rollback, or a new start) first puts the rows of that snapshot into the index's cells, or fits
+the cells anew where more than half as many rows have changed as they were fitted on. ``index=N`` and ``index-N.json`` are a
+persisted index; the manifest names the last one.
 """
 
 from __future__ import annotations
@@ -12,10 +17,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as v
+from spindrift.llm.common import shared_path
 from spindrift.operators import knn
 from spindrift.operators.ivf import IvfIndex
 from spindrift.plans.knn_plan import Predicate
@@ -82,15 +89,27 @@ class State:
     next_id: int = 1
     changes: int = 0
     destructive: bool = False
+    total: int = 0
     pending: DataFrame | None = field(default=None, compare=False)
 
 
+@dataclass(frozen=True)
+class Covered:
+    """The snapshot that an index covers, the table's rows and total of changes when its cells were fitted, and its number if persisted."""
+
+    snapshot: int
+    rows: int
+    total: int
+    number: int | None = None
+
+
 class VectorTable:
-    def __init__(self, catalog: Catalog, config: Config, version: int, state: State) -> None:
-        self.catalog, self.config, self.version, self.state = catalog, config, version, state
+    def __init__(self, catalog: Catalog, config: Config, version: int, state: State, saved: int | None = None) -> None:
+        self.catalog, self.config, self.version, self.state, self.saved = catalog, config, version, state, saved
         self.stack: list[State] = []
         self.begun: State | None = None
         self.index: IvfIndex | None = None
+        self.covered: Covered | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -118,15 +137,20 @@ class VectorTable:
         """A new version: staged inside a transaction, else committed at once."""
         number = self.catalog.next_snapshot(self.config.name)
         df.write.parquet(self._folder(number))
-        self.state = replace(self.state, snapshot=number, pending=None, changes=self.state.changes + n, destructive=self.state.destructive or destructive, next_id=next_id or self.state.next_id)
+        self.state = replace(self.state, snapshot=number, pending=None, changes=self.state.changes + n, total=self.state.total + n, destructive=self.state.destructive or destructive, next_id=next_id or self.state.next_id)
         if self.begun is None:
             self._publish()
 
     def _publish(self) -> None:
         done = self.config.mode == "hnsw" and (self.state.destructive or self.state.changes >= self.config.sync_every)
         if done:
+            self._follow(keep=True)
             self.state = replace(self.state, changes=0, destructive=False)
-        self.version = self.catalog.publish(self.config, self.version, self.state)
+        self._record()
+
+    def _record(self) -> None:
+        """A manifest of what is committed: nothing of a transaction that still runs."""
+        self.version = self.catalog.publish(self.config, self.version, self.begun or self.state, self.saved)
 
     def insert(self, df: DataFrame) -> int:
         """Append rows (vector, and id or metadata as far as there are); ids that are missing continue the highest ever used."""
@@ -202,24 +226,52 @@ class VectorTable:
         if self.config.mode == "exact":
             raise ValueError(f"table '{self.config.name}' uses mode=exact and has no index")
 
+    def _follow(self, refit: bool = False, keep: bool = False) -> IvfIndex | None:
+        """The index of the present snapshot, None if it has no rows; ``keep``: persisted in the table's folder."""
+        if self.index is None and self.saved is not None and not refit:
+            self.index, self.covered = self.catalog.load_index(self.config, self.saved)
+        same = self.covered is not None and self.covered.snapshot == self.state.snapshot
+        if same and not refit and (self.covered.number is not None or not keep):
+            return self.index
+        rows, number = self.rows(), self.catalog.next_index(self.config.name) if keep else None
+        path = f"{self.catalog.root}/{self.config.name}/index={number}" if keep else shared_path(self.spark, "index")
+        if refit or self.index is None or 2 * abs(self.state.total - self.covered.total) > self.covered.rows:
+            n = rows.count()
+            if not n:
+                self.index = self.covered = self.saved = None
+                return None
+            self.index = IvfIndex.build(rows, max(1, min(self.config.m, n)), self.config.metric, kind=self.config.type, iterations=max(2, self.config.ef_construction // 20), path=path)
+            self.covered = Covered(self.state.snapshot, n, self.state.total, number)
+        else:
+            self.index = self.index.reconcile(rows, path)
+            self.covered = replace(self.covered, snapshot=self.state.snapshot, number=number)
+        if keep:
+            self.catalog.save_index(self.config, self.index, self.covered)
+            self.saved = number
+        return self.index
+
     def rebuild_index(self) -> int:
+        """Fit the index anew and persist it; the number of rows."""
         self._indexed()
-        n = self.rows().count()
-        self.index = IvfIndex.build(self.rows(), max(1, min(self.config.m, n)), self.config.metric, kind=self.config.type, iterations=max(2, self.config.ef_construction // 20)) if n else None
+        self._follow(refit=True, keep=True)
         self.state = replace(self.state, changes=0, destructive=False)
-        return n
+        self._record()
+        return self.covered.rows if self.covered else 0
 
     def search_index(self, query: Sequence[float], k: int, nprobe: int | None = None, where: str | None = None) -> DataFrame:
-        """Approximate search through the index; ``ef_search`` says how many cells, of the index's ``m``."""
+        """Approximate search through the index of the rows as they are now; ``ef_search`` says how many cells, of the index's ``m``."""
         self._indexed()
-        if self.index is None:
-            self.rebuild_index()
-        return self.index.search(query, k, nprobe or max(1, self.config.ef_search // 16), where)
+        index = self._follow()
+        if index is None:
+            return knn.nearest(self.rows(), query, k, self.config.metric, kind=self.config.type)
+        return index.search(query, k, nprobe or max(1, self.config.ef_search // 16), where)
 
     def sync_index(self) -> int:
+        """Persist the index of the rows as they are now."""
         self._indexed()
+        self._follow(keep=True)
         self.state = replace(self.state, changes=0, destructive=False)
-        self.version = self.catalog.publish(self.config, self.version, self.state)
+        self._record()
         return 1
 
     def set_ef_search(self, n: int) -> int:
@@ -227,7 +279,7 @@ class VectorTable:
             raise ValueError("ef_search must be positive")
         self._indexed()
         self.config = replace(self.config, ef_search=n)
-        self.version = self.catalog.publish(self.config, self.version, self.state)
+        self._record()
         return n
 
     def index_info(self) -> str:
@@ -273,15 +325,36 @@ class Catalog:
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def next_snapshot(self, name: str) -> int:
-        return 1 + max([int(m[1]) for x in self._list(name) if (m := re.fullmatch(r"v=(\d+)", x))], default=0)
+        return self._next(name, r"v=(\d+)")
+
+    def next_index(self, name: str) -> int:
+        return self._next(name, r"index=(\d+)")
 
-    def publish(self, config: Config, version: int, state: State) -> int:
-        path, fs = self._path(f"{self.root}/{config.name}/manifest-{version + 1:08d}.json")
+    def _next(self, name: str, pattern: str) -> int:
+        return 1 + max([int(m[1]) for x in self._list(name) if (m := re.fullmatch(pattern, x))], default=0)
+
+    def _write(self, name: str, content: dict) -> None:
+        """A new file; it fails if there is one."""
+        path, fs = self._path(name)
         out = fs.create(path, False)
-        out.write(bytearray(json.dumps({"config": asdict(config), "snapshot": state.snapshot, "next_id": state.next_id, "changes": state.changes}).encode()))
+        out.write(bytearray(json.dumps(content).encode()))
         out.close()
+
+    def _read(self, name: str) -> dict:
+        return json.loads("".join(r[0] for r in self.spark.read.text(name).collect()))
+
+    def publish(self, config: Config, version: int, state: State, saved: int | None = None) -> int:
+        self._write(f"{self.root}/{config.name}/manifest-{version + 1:08d}.json", {"config": asdict(config), "snapshot": state.snapshot, "next_id": state.next_id, "changes": state.changes, "total": state.total, "index": saved})
         return version + 1
 
+    def save_index(self, config: Config, index: IvfIndex, covered: Covered) -> None:
+        self._write(f"{self.root}/{config.name}/index-{covered.number:08d}.json", {"covered": asdict(covered), "centroids": index.centroids.tolist()})
+
+    def load_index(self, config: Config, number: int) -> tuple[IvfIndex, Covered]:
+        read = self._read(f"{self.root}/{config.name}/index-{number:08d}.json")
+        rows = self.spark.read.schema(config.schema() + ", cell int").parquet(f"{self.root}/{config.name}/index={number}")
+        return IvfIndex(rows, np.array(read["centroids"]), config.metric, "vector", "id", config.type), Covered(**read["covered"])
+
     def create(self, name: str, **args) -> VectorTable:
         config = Config.parse(name, **args)
         if any(x.startswith("manifest-") for x in self._list(name)):
@@ -296,14 +369,13 @@ class Catalog:
         found = sorted(x for x in self._list(name) if x.startswith("manifest-"))
         if not found:
             raise KeyError(f"no vector table named {name}")
-        path = f"{self.root}/{name}/{found[-1]}"
-        read = json.loads("".join(r[0] for r in self.spark.read.text(path).collect()))
+        read = self._read(f"{self.root}/{name}/{found[-1]}")
         kept = read["config"]
         config = Config(**{**kept, "metadata": tuple(map(tuple, kept["metadata"]))})
         for key in ("dim", "type", "metric", "mode"):
             if key in args and str(args[key]) != str(getattr(config, key)):
                 raise ValueError(f"config error: {key} of '{name}' is {getattr(config, key)}, not {args[key]}")
-        table = VectorTable(self, config, int(found[-1][9:17]), State(read["snapshot"], read["next_id"], read["changes"]))
+        table = VectorTable(self, config, int(found[-1][9:17]), State(read["snapshot"], read["next_id"], read["changes"], total=read.get("total", 0)), read.get("index"))
         self.tables[name] = table
         return table
 

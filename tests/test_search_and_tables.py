@@ -155,3 +155,51 @@ def test_knn_join_and_index(spark):
     assert index.search(x[0].tolist(), 290, nprobe=1).count() == 290
     fewer = index.reconcile(df.where("id < 100"))
     assert fewer.rows.count() == 100
+
+
+def test_index_follows_the_table(spark, catalog):
+    t = catalog.create("t", dim=2, m=4, sync_every=1_000_000, metadata="label TEXT")
+    t.insert(rows(spark, [([float(i), float(i % 7)], "a") for i in range(40)], ", label string"))
+
+    def same():
+        want = [(r["id"], r["label"], r["distance"]) for r in t.knn([3.0, 3.0], 12).collect()]
+        got = [(r["id"], r["label"], r["distance"]) for r in t.search_index([3.0, 3.0], 12, nprobe=4).collect()]
+        assert got == want
+        return [x[0] for x in got]
+
+    assert 41 not in same()
+    t.insert(rows(spark, [([3.0, 3.0], "new")], ", label string"))
+    assert 41 in same()
+    t.update("id = 41", vector="array(900D, 900D)")
+    assert 41 not in same()
+    t.update("id = 4", label="'changed'")
+    same()
+    t.delete("id = 4")
+    assert 4 not in same()
+    t.begin()
+    t.delete("id < 10")
+    at = t.savepoint()
+    t.insert(rows(spark, [([3.0, 3.0], "later")], ", label string"))
+    assert same()[0] == 42 and t.sync_index() == 1
+    t.rollback_to(at)
+    assert 42 not in same()
+    t.rollback()
+    assert same()[0] == 3
+    t = catalog.open("t")
+    assert t.saved is not None and same()[0] == 3
+    t.insert(rows(spark, [([3.0, 3.0 + i / 1000], "many") for i in range(60)], ", label string"))
+    same()
+    assert t.covered.rows == 100
+    t.delete("true")
+    assert t.search_index([3.0, 3.0], 12).count() == 0 and t.rebuild_index() == 0
+
+
+def test_persisted_index_is_read_again(spark, catalog, monkeypatch):
+    t = catalog.create("t", dim=2, m=4)
+    t.insert(rows(spark, [([float(i), 0.0],) for i in range(40)]))
+    t.sync_index()
+    monkeypatch.setattr(IvfIndex, "build", None)
+    again = catalog.open("t")
+    assert ids(again.search_index([7.0, 0.0], 1, nprobe=1)) == [8]
+    again.insert(rows(spark, [([7.0, 0.0],)]))
+    assert ids(again.search_index([7.0, 0.0], 2, nprobe=4)) == [8, 41]
