@@ -3,10 +3,16 @@
 Centroids are fitted on a bounded sample (``fit_rows``, a parameter), but every row is assigned to a cell. The assignment is a
 pandas UDF over batches; the index is Parquet partitioned by cell, so a search reads the probed cells only. A search
 widens its probes until k rows pass the predicates, or all cells are read: then it is exact.
+
+How many cells a search probes if it is not told is measured when the index is built: on a sample of rows, the least number
+that finds a share ``AIM`` of the true neighbours of other rows, for each k of ``MEASURED_K``. A sample is sparser than the table,
+so its neighbours spread over more cells, not fewer. Larger k, and searches with a predicate (the nearest rows that pass can be
+anywhere), read all cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,9 +25,15 @@ from pyspark.sql import functions as F
 from spindrift.operators.knn import nearest
 
 
+#: The share of neighbours that default probes are to find in the sample, the k that it is measured for, and rows of the sample and queries among them.
+AIM, MEASURED_K, SAMPLE_ROWS, SAMPLE_QUERIES = 0.95, (10, 100), 4096, 256
+
+
 class IvfIndex:
-    def __init__(self, rows: DataFrame, centroids: np.ndarray, metric: str, vector: str, id_col: str, kind: str) -> None:
+    def __init__(self, rows: DataFrame, centroids: np.ndarray, metric: str, vector: str, id_col: str, kind: str, measured: dict[int, int] | None = None) -> None:
         self.rows, self.centroids, self.metric, self.vector, self.id_col, self.kind = rows, centroids, metric, vector, id_col, kind
+        #: By k: the cells that hold a share AIM of the k nearest.
+        self.measured = measured or {}
 
     @classmethod
     def build(cls, df: DataFrame, cells: int = 16, metric: str = "l2", vector: str = "vector", id_col: str = "id", kind: str = "float4", iterations: int = 10, fit_rows: int = 100_000, seed: int = 1, path: str | None = None) -> IvfIndex:
@@ -39,7 +51,31 @@ class IvfIndex:
             model = KMeans(k=min(cells, total), maxIter=iterations, seed=seed, featuresCol="f").fit(points.select(array_to_vector("v").alias("f")))
             centroids = np.array(model.clusterCenters())
         assigned = df.withColumn("cell", cls._cell(centroids, metric)(F.col(vector).cast("array<double>")))
-        return cls(cls._kept(assigned, path), centroids, metric, vector, id_col, kind)
+        return cls(cls._kept(assigned, path), centroids, metric, vector, id_col, kind, cls._measure(points, centroids, metric))
+
+    @classmethod
+    def _measure(cls, points: DataFrame, centroids: np.ndarray, metric: str) -> dict[int, int]:
+        """By k: the least number of nearest cells with a share AIM of the true neighbours, over a sample."""
+        held = points.orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS).toArrow().column("v").combine_chunks()
+        x = np.asarray(held.flatten()).reshape(len(held), -1)
+        if len(x) < 2 or len(centroids) < 2:
+            return {}
+        q, square = x[:SAMPLE_QUERIES], lambda y: (y * y).sum(1)[None]
+        own = (square(centroids) - 2 * x @ centroids.T).argmin(1)
+        far, order = -q @ x.T, -q @ centroids.T
+        if metric != "ip":
+            far, order = square(x) + 2 * far, square(centroids) + 2 * order
+        far[np.arange(len(q)), np.arange(len(q))] = np.inf
+        place = np.argsort(np.argsort(order, axis=1, kind="stable"), axis=1)
+        nearest_first, measured = np.argsort(far, axis=1)[:, : len(x) - 1], {}
+        for k in MEASURED_K:
+            at = np.sort(np.take_along_axis(place, own[nearest_first[:, :k]], axis=1), axis=None)
+            measured[k] = int(at[math.ceil(AIM * len(at)) - 1]) + 1
+        return measured
+
+    def probes(self, k: int, where: str | None = None) -> int:
+        """The cells that a search for k rows probes if it is not told."""
+        return next((p for most, p in sorted(self.measured.items()) if k <= most and where is None), len(self.centroids))
 
     @staticmethod
     def _kept(assigned: DataFrame, path: str | None) -> DataFrame:
@@ -67,7 +103,8 @@ class IvfIndex:
             q = q / max(np.linalg.norm(q), 1e-300)
         return np.argsort(((self.centroids - q) ** 2).sum(axis=1), kind="stable").tolist()
 
-    def search(self, query: Sequence[float], k: int, nprobe: int = 4, where: str | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, nprobe: int | None = None, where: str | None = None) -> DataFrame:
+        nprobe = nprobe or self.probes(k, where)
         order, rows = self.nearest_cells(query), self.rows if where is None else self.rows.where(where)
         while True:
             probed = rows.where(F.col("cell").isin(order[:nprobe])) if nprobe < len(order) else rows
@@ -78,10 +115,10 @@ class IvfIndex:
     def reconcile(self, data: DataFrame, path: str | None = None) -> IvfIndex:
         """The index of ``data`` as it is now: its rows, vectors and other columns, in cells around the same centroids."""
         assigned = data.withColumn("cell", self._cell(self.centroids, self.metric)(F.col(self.vector).cast("array<double>")))
-        return IvfIndex(self._kept(assigned, path), self.centroids, self.metric, self.vector, self.id_col, self.kind)
+        return IvfIndex(self._kept(assigned, path), self.centroids, self.metric, self.vector, self.id_col, self.kind, self.measured)
 
 
-def recall(spark: SparkSession, index: IvfIndex, exact: DataFrame, queries: list[Sequence[float]], k: int, nprobe: int) -> float:
+def recall(spark: SparkSession, index: IvfIndex, exact: DataFrame, queries: list[Sequence[float]], k: int, nprobe: int | None = None) -> float:
     """The share of true neighbours that the index finds."""
     hit = 0
     for q in queries:

@@ -259,12 +259,19 @@ class VectorTable:
         return self.covered.rows if self.covered else 0
 
     def search_index(self, query: Sequence[float], k: int, nprobe: int | None = None, where: str | None = None) -> DataFrame:
-        """Approximate search through the index of the rows as they are now; ``ef_search`` says how many cells, of the index's ``m``."""
+        """Approximate search through the index of the rows as they are now.
+
+        Unless ``nprobe`` is given it probes the cells that the index measured for k, in proportion to ``ef_search`` where that
+        is not its default; all cells if there is a predicate.
+        """
         self._indexed()
         index = self._follow()
         if index is None:
             return knn.nearest(self.rows(), query, k, self.config.metric, kind=self.config.type)
-        return index.search(query, k, nprobe or max(1, self.config.ef_search // 16), where)
+        probes = index.probes(k, where)
+        if where is None:
+            probes = -(-probes * self.config.ef_search // Config.ef_search)
+        return index.search(query, k, nprobe or probes, where)
 
     def sync_index(self) -> int:
         """Persist the index of the rows as they are now."""
@@ -348,12 +355,12 @@ class Catalog:
         return version + 1
 
     def save_index(self, config: Config, index: IvfIndex, covered: Covered) -> None:
-        self._write(f"{self.root}/{config.name}/index-{covered.number:08d}.json", {"covered": asdict(covered), "centroids": index.centroids.tolist()})
+        self._write(f"{self.root}/{config.name}/index-{covered.number:08d}.json", {"covered": asdict(covered), "centroids": index.centroids.tolist(), "measured": sorted(index.measured.items())})
 
     def load_index(self, config: Config, number: int) -> tuple[IvfIndex, Covered]:
         read = self._read(f"{self.root}/{config.name}/index-{number:08d}.json")
         rows = self.spark.read.schema(config.schema() + ", cell int").parquet(f"{self.root}/{config.name}/index={number}")
-        return IvfIndex(rows, np.array(read["centroids"]), config.metric, "vector", "id", config.type), Covered(**read["covered"])
+        return IvfIndex(rows, np.array(read["centroids"]), config.metric, "vector", "id", config.type, dict(map(tuple, read["measured"]))), Covered(**read["covered"])
 
     def create(self, name: str, **args) -> VectorTable:
         config = Config.parse(name, **args)

@@ -203,3 +203,28 @@ def test_persisted_index_is_read_again(spark, catalog, monkeypatch):
     assert ids(again.search_index([7.0, 0.0], 1, nprobe=1)) == [8]
     again.insert(rows(spark, [([7.0, 0.0],)]))
     assert ids(again.search_index([7.0, 0.0], 2, nprobe=4)) == [8, 41]
+
+
+def test_recall_at_the_defaults(spark, catalog):
+    """Queries vec_id % 100 = 0 of sf0.1 against brute force, with nothing but defaults."""
+    found = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toArrow()
+    x, at = np.stack(found.column("embedding").to_pylist()), np.asarray(found.column("vec_id"))
+    t = catalog.create("t", dim=64)
+    t.insert(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id + 1 as id", "embedding as vector"))
+    hit, queries = 0, np.flatnonzero(at % 100 == 0)
+    for q in queries:
+        true = set((at[np.lexsort((at, ((x - x[q]) ** 2).sum(1)))[:10]] + 1).tolist())
+        hit += len(true & set(ids(t.search_index(x[q].tolist(), 10))))
+    print("recall", hit / 10 / len(queries), "cells", t.index.probes(10), "of", len(t.index.centroids), t.index.measured)
+    assert hit / 10 / len(queries) >= 0.9
+
+
+def test_default_probes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist(), i % 100 == 0) for i, v in enumerate(x)], "id long, vector array<double>, rare boolean")
+    for metric in ("l2", "cosine", "ip"):
+        index = IvfIndex.build(df, metric=metric, kind="float8")
+        assert recall(spark, index, df, [v.tolist() for v in x[:8]], 10) >= 0.9, metric
+        assert index.probes(10) <= index.probes(100) <= index.probes(101) == 16 == index.probes(1, "rare")
+    assert sorted(ids(index.search(x[1].tolist(), 2, where="rare"))) == sorted(ids(knn.nearest(df.where("rare"), x[1].tolist(), 2, "ip", kind="float8")))
