@@ -45,7 +45,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the learned rules and the packing; the tests hold the pipeline against brute force.
+#: SQL cannot express the learned rules and the packing; tests/llm/test_pipeline.py holds the documents and texts of the stages before packing against
+#: brute force, and what packing takes against what the stages left; test_operators.py holds packing itself.
 ORACLE_SQL = None
 
 
