@@ -137,6 +137,17 @@ def test_html(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'title="the hidden side"', "data-hidden=1", "title='class=menu'", 'id="story" width="5"', "href=/a/hidden/id=nav", 'data-role="menu"', 'class="x" class="menu"'])
+def test_html_reads_whole_attributes_only(attributes):
+    assert html_extract.page_text(f"<body><article {attributes}><p>kept</p></article><p>loose</p></body>", None) == "kept"
+    assert html_extract.page_text(f"<body><div {attributes}>kept</div></body>", None) == "kept"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'title="a"hidden', "HIDDEN=''", 'aria-hidden = "true"', "id='nav' width='5'", "data-x=1 role=menu"])
+def test_html_parts_beside(attributes):
+    assert html_extract.page_text(f"<body><div {attributes}>left out</div><p>kept</p></body>", None) == "kept"
+
+
 def test_html_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
