@@ -6,7 +6,6 @@ Compared values are computed in double precision on both sides and rounded to si
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from spindrift.operators.ivf import IvfIndex
 from spindrift.plans.knn_plan import Predicate
 from spindrift.sources import codec
 from spindrift.sources.table import Catalog
+from spindrift.storage import shared_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -265,8 +265,7 @@ def sql_functions(spark, sf_dir):
 
 
 def _catalog(spark: SparkSession) -> Catalog:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spindrift-")
-    return Catalog(spark, f"{root.rstrip('/')}/vectors-{uuid.uuid4().hex[:12]}")
+    return Catalog(spark, shared_path(spark, "vectors"))
 
 
 def _seeded(spark, sf_dir, mode: str = "exact"):

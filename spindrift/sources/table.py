@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as v
-from spindrift.llm.common import shared_path
 from spindrift.operators import knn
 from spindrift.operators.ivf import IvfIndex
 from spindrift.plans.knn_plan import Predicate
 from spindrift.sources import codec
+from spindrift.storage import shared_path
 
 MODES = ("hnsw", "exact")
 _DECLARED = {"TEXT": "string", "INTEGER": "bigint", "REAL": "double", "BLOB": "binary"}
