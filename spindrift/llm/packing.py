@@ -3,8 +3,9 @@
 A document's ids are cut into full sequences and a rest. Full ones are sequences of their own. The rests are the items of
 a cutting-stock problem: their lengths, in classes, make a histogram of fixed size; a linear program over patterns (how
 many items of each class share a sequence) is solved on the driver, where a knapsack dynamic program over the dual prices
-finds each next pattern; the rounded-down solution says how often each pattern is used, and what rounding leaves
-over is packed first-fit decreasing, by class counts alone. Documents are ranked within their class, in
+finds each next pattern, until the value is proven to be within half a sequence or one in 10,000 of the optimum; the
+rounded-down solution says how often each pattern is used, and what rounding leaves over is packed first-fit decreasing, by
+class counts alone. Documents are ranked within their class, in
 parallel (counts by class and block of ids give each block's first rank), and the rank says pattern, copy and
 place. A sequence holds at most ``capacity`` pieces, so the offsets inside it are one small window.
 
@@ -63,82 +64,109 @@ def class_bounds(capacity: int, exact: int = 256, steps: int = 64) -> list[int]:
     return [b for b in bounds if b < capacity] + [capacity]
 
 
-def _knapsack(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """The most valuable multiset of classes that fits, each at most ``limits`` times: items of a class enter as powers of two."""
-    worth = np.zeros(capacity + 1)
-    taken: list[tuple[int, int, np.ndarray]] = []
-    for k in np.flatnonzero(values > 1e-9):
-        left, size = int(min(limits[k], capacity // sizes[k])), int(sizes[k])
-        part = 1
-        while left > 0:
-            n = min(part, left)
-            better = np.zeros(capacity + 1, bool)
-            new = worth[: capacity + 1 - n * size] + n * values[k]
-            better[n * size :] = new > worth[n * size :] + 1e-12
-            worth[n * size :] = np.where(better[n * size :], new, worth[n * size :])
-            taken.append((k, n, better))
-            left, part = left - n, part * 2
-    counts, room = np.zeros(len(sizes), np.int64), int(np.argmax(worth))
-    for k, n, better in reversed(taken):
-        if better[room]:
-            counts[k] += n
-            room -= n * int(sizes[k])
-    return counts
-
-
-def _greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
-    """A starting basis, a column per class: largest-first patterns, each used until it exhausts a class."""
-    left, columns = demand.astype(float), np.zeros((len(sizes), len(sizes)))
-    for _ in range(len(sizes)):
-        pattern, room = np.zeros(len(sizes)), capacity
-        for k in np.flatnonzero(left > 0)[::-1]:
-            pattern[k] = min(max(1, int(left[k])), room // sizes[k])
-            room -= int(pattern[k] * sizes[k])
-        used = np.flatnonzero(pattern)
-        if not len(used):
-            break
-        ratios = left[used] / pattern[used]
-        out = used[int(np.argmin(ratios))]
-        left = left - ratios.min() * pattern
-        left[out], columns[:, out] = 0, pattern
-        done = (left < 1e-9) & (columns.sum(axis=0) == 0)
-        left[left < 1e-9] = 0
-        columns[done, done] = capacity // sizes[done]
-    return columns
+class _Knapsack:
+    """The most valuable patterns for given prices: a dynamic program over room, in which items of a class enter as powers of two."""
+
+    def __init__(self, sizes: np.ndarray, limits: np.ndarray, capacity: int) -> None:
+        self.n, self.capacity, self.parts = len(sizes), capacity, []
+        for k, (size, limit) in enumerate(zip(sizes.tolist(), limits.tolist())):
+            left, part = min(limit, capacity // size), 1
+            while left > 0:
+                self.parts.append((k, min(part, left), min(part, left) * size))
+                left, part = left - min(part, left), 2 * part
+
+    def solve(self, prices: np.ndarray) -> None:
+        self.worth, self.taken = np.zeros(self.capacity + 1), []
+        for k, n, size in self.parts:
+            if (value := n * prices[k]) > 0:
+                with_it, without_it = self.worth[: self.capacity + 1 - size] + value, self.worth[size:]
+                better = with_it > without_it
+                np.copyto(without_it, with_it, where=better)
+                self.taken.append((k, n, size, better))
+
+    def pattern(self, room: int) -> np.ndarray:
+        """The best pattern that fits ``room``."""
+        counts = np.zeros(self.n)
+        for k, n, size, better in reversed(self.taken):
+            if room >= size and better[room - size]:
+                counts[k] += n
+                room -= size
+        return counts
+
+
+class _Simplex:
+    """The restricted linear program: least sum of uses with basis @ uses = demand, by revised simplex.
+
+    It starts from patterns of one class each, which covers any demand exactly.
+    """
 
+    #: Pivots after which the inverse is computed anew, so that errors don't add up.
+    REFRESH = 64
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int = 160) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (a row each) and how often the linear program uses them: revised simplex from the greedy basis.
+    def __init__(self, sizes: np.ndarray, demand: np.ndarray, capacity: int) -> None:
+        most = (capacity // sizes).astype(float)
+        self.demand, self.basis, self.inverse, self.uses, self.pivots = demand.astype(float), np.diag(most), np.diag(1 / most), demand / most, 0
 
-    It may stop before the optimum, at ``max_columns``: every basis on the way covers the demand.
-    """
-    m = len(sizes)
-    basis = _greedy_basis(sizes, demand, capacity)
-    inverse = np.linalg.inv(basis) if m else basis
-    uses = np.maximum(inverse @ demand, 0)
-    for _ in range(max_columns if m else 0):
-        prices = inverse.sum(axis=0)
-        column = _knapsack(sizes, prices, demand, capacity).astype(float)
-        if prices @ column <= 1 + 1e-6:
-            break
-        direction = inverse @ column
+    def prices(self) -> np.ndarray:
+        return self.inverse.sum(axis=0)
+
+    def enter(self, column: np.ndarray) -> bool:
+        """Take a pattern into the basis if its prices say that it saves anything."""
+        if self.prices() @ column <= 1 + 1e-9:
+            return False
+        direction = self.inverse @ column
         able = direction > 1e-9
-        if not able.any():
-            break
-        ratios = np.where(able, uses / np.where(able, direction, 1), np.inf)
+        ratios = np.where(able, self.uses / np.where(able, direction, 1), np.inf)
         out = int(np.argmin(ratios))
         step = ratios[out]
-        uses = np.maximum(uses - step * direction, 0)
-        uses[out] = step
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-        basis[:, out] = column
-    return basis.T.round().astype(np.int64).reshape(m, m), uses
+        self.uses = self.uses - step * direction
+        self.uses[out] = step
+        self.basis[:, out] = column
+        self.pivots += 1
+        if self.pivots % self.REFRESH == 0:
+            self.inverse = np.linalg.inv(self.basis)
+            self.uses = self.inverse @ self.demand
+        else:
+            row = self.inverse[out] / direction[out]
+            self.inverse -= np.outer(direction, row)
+            self.inverse[out] = row
+        self.uses[(self.uses < 0) & (self.uses > -1e-6)] = 0
+        return True
+
+
+#: The linear program is solved where its value is proven to lie within half a sequence, or this share, of the optimum.
+GAP = 1e-4
+#: Rooms below the capacity whose best patterns are priced in each round too.
+ROOMS = 16
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (a row each), how often the linear program uses them, and a proven lower bound of its value.
+
+    Any prices at which no pattern is worth more than 1 bound the value from below: sizes over capacity do, and so do
+    the present prices over the worth of the best pattern. It ends where value and bound meet, or no pattern saves anything.
+    """
+    if not len(sizes):
+        return np.zeros((0, 0), np.int64), np.zeros(0), 0.0
+    program, knapsack, bound = _Simplex(sizes, demand, capacity), _Knapsack(sizes, demand, capacity), float(sizes @ demand) / capacity
+    for pattern, _ in _first_fit(sizes, demand, capacity):
+        program.enter(pattern.astype(float))
+    while True:
+        prices = np.maximum(program.prices(), 0)
+        knapsack.solve(prices)
+        bound = max(bound, float(prices @ demand) / max(knapsack.worth[capacity], 1.0))
+        if program.uses.sum() - bound <= max(0.5, GAP * bound):
+            break
+        rooms = [r for r in range(capacity, max(0, capacity - ROOMS), -1) if knapsack.worth[r] > 1 + 1e-9]
+        if not sum([program.enter(knapsack.pattern(r)) for r in rooms]):
+            break
+    uses = np.maximum(np.linalg.solve(program.basis, program.demand), 0)
+    assert np.allclose(program.basis @ uses, demand, atol=1e-6 * max(1, demand.max())), "the linear program misses the demand"
+    return program.basis.T.round().astype(np.int64), uses, bound
 
 
 def _first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Greedy patterns for what rounding left over, largest class first; equal ones are made at once."""
+    """Greedy patterns, largest class first; equal ones are made at once."""
     left, found = demand.copy(), []
     while left.any():
         pattern, room = np.zeros(len(sizes), np.int64), capacity
@@ -167,7 +195,7 @@ def make_plan(bounds: list[int], histogram: dict[int, int], capacity: int) -> Pl
     classes = np.array(sorted(histogram), np.int64)
     sizes = np.array(bounds, np.int64)[classes] if len(classes) else classes
     demand = np.array([histogram[int(k)] for k in classes], np.int64)
-    columns, uses = column_generation(sizes, demand, capacity)
+    columns, uses, _ = column_generation(sizes, demand, capacity)
     chosen: list[tuple[np.ndarray, int]] = []
     left = demand.copy()
     for pattern, used in sorted(zip(columns, uses), key=lambda x: -x[1]):
@@ -192,8 +220,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     bounds = class_bounds(capacity)
     lookup = np.searchsorted(bounds, np.arange(capacity + 1)).tolist()
     cut = cut.withColumn("class", F.element_at(F.lit(lookup), (F.col("length") + 1).cast("int")))
-    # Blocks of ids, about 100,000 pieces each, rank in parallel.
-    blocks = max(1, cut.count() // 100_000)
+    # Blocks of ids rank in parallel: 100,000 pieces each at most, about, and fewer as long as there are few blocks.
+    n_pieces = cut.count()
+    blocks = max(1, min(n_pieces // 500, 256), n_pieces // 100_000)
     cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)))
     counted = cut.groupBy("class", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

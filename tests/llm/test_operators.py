@@ -280,14 +280,34 @@ def test_packing(spark, texts, token_ids, nothing):
     assert packing.pack(df.unionByName(df)).agg(F.sum("length")).first()[0] == 2 * sum(map(len, token_ids))
 
 
-def test_column_generation_fills():
+def test_packing_fills(spark):
+    """Sequences of sf0.01: within 1 % of the ids over the capacity, and no more than first-fit decreasing on exact lengths plus 1 %."""
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("length", "sequence_id").collect()
+    n, total = len({r["sequence_id"] for r in rows}), sum(r["length"] for r in rows)
+    assert n * 4096 <= 1.01 * total + 4096
+
+
+def test_column_generation_covers_and_beats_first_fit():
+    """On small problems the linear program is at most first-fit, its bound holds, and every plan covers the demand exactly."""
     rng = np.random.default_rng(5)
-    lengths = np.clip(rng.lognormal(6, 1, 20_000).astype(int), 1, 4095)
-    bounds = packing.class_bounds(4096)
-    classes, n = np.unique(np.searchsorted(bounds, lengths), return_counts=True)
-    plan = packing.make_plan(bounds, dict(zip(classes.tolist(), n.tolist())), 4096)
-    assert (plan.patterns @ np.array(bounds) <= 4096).all() and ((plan.patterns * plan.times[:, None]).sum(0)[classes] == n).all()
-    assert plan.times.sum() * 4096 <= 1.02 * lengths.sum()
+    for spread in ((6, 1.0), (7.3, 0.6), (7.6, 0.2)):
+        lengths = np.clip(rng.lognormal(*spread, 3000).astype(int), 1, 4095)
+        bounds = packing.class_bounds(4096, exact=32, steps=8)
+        classes, n = np.unique(np.searchsorted(bounds, lengths), return_counts=True)
+        sizes, greedy = np.array(bounds)[classes], sum(t for _, t in packing._first_fit(np.array(bounds)[classes], n, 4096))
+        patterns, uses, bound = packing.column_generation(sizes, n, 4096)
+        assert (patterns @ sizes <= 4096).all() and np.allclose(patterns.T @ uses, n) and bound <= uses.sum() + 1e-6 <= greedy + 1e-3
+        plan = packing.make_plan(bounds, dict(zip(classes.tolist(), n.tolist())), 4096)
+        assert (plan.patterns @ np.array(bounds) <= 4096).all() and ((plan.patterns * plan.times[:, None]).sum(0)[classes] == n).all()
+        assert np.ceil(bound - 1e-6) <= plan.times.sum() <= max(greedy, bound * 1.002 + 2)
+
+
+def test_column_generation_finds_the_optimum():
+    """Lengths that first-fit decreasing packs badly."""
+    sizes, demand = np.array([6, 10, 16, 34, 51]), np.array([40, 40, 40, 20, 20])
+    patterns, uses, bound = packing.column_generation(sizes, demand, 101)
+    worst = sum(t for _, t in packing._first_fit(sizes, demand, 101))
+    assert np.allclose(patterns.T @ uses, demand) and bound <= uses.sum() <= min(worst, bound + 0.5 + 1e-6)
 
 
 def test_token_counts(spark, texts, awkward, nothing):
