@@ -39,9 +39,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def cut(batches):
         encoder = word_bpe(path)
         for batch in batches:
-            ids_of, rows, texts = (batch.column(k).to_pylist() for k in range(3))
+            ids_of, rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for a, b in slices(texts):
-                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
                 data, ends = ids.astype("<u4"), np.cumsum(sizes)
                 out: list[tuple] = []
                 for k in range(b - a):

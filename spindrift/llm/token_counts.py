@@ -36,8 +36,8 @@ def default_model() -> str:
 class PieceMerger:
     #: Pre-tokens held at most; the table starts anew beyond that.
     MAX_HELD = 600_000
-    #: Characters of new pre-tokens merged at once.
-    BATCH_CHARS = 2_000_000
+    #: Bytes of new pre-tokens merged at once.
+    BATCH_BYTES = 2 << 20
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -132,7 +132,7 @@ class PieceMerger:
             self.held = {}
         split = [self.split(self.marked(t or "")) for t in texts]
         new = list({t for tokens in split for t in tokens if t not in self.held})
-        for a, b in slices(new, self.BATCH_CHARS):
+        for a, b in slices(pa.array(new, pa.string()), self.BATCH_BYTES):
             self.held.update(zip(new[a:b], self.merge(new[a:b]).tolist()))
         get = self.held.__getitem__
         return [sum(map(get, tokens)) for tokens in split]
@@ -156,8 +156,8 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, t
     def count(batches):
         own = merger(path)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            counts = [n for a, b in slices(texts) for n in own.counts(texts[a:b])]
+            texts = batch.column(batch.num_columns - 1)
+            counts = [n for a, b in slices(texts, 4 << 20) for n in own.counts(texts.slice(a, b - a).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
     sized = docs.select(*kept, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("_text"))

@@ -98,9 +98,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
         shard = n = 0
 
         for batch in batches:
-            ids_of, texts = (batch.column(k).to_pylist() for k in range(2))
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts):
-                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
                 held.append(([NULL_ID if i is None else i for i in ids_of[a:b]], sizes, ids))
                 n += len(ids)
                 if n >= SHARD_IDS:
