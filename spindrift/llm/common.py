@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.storage import discard, shared_dir, shared_path  # noqa: F401
+from spindrift.storage import discard, shared_path
 
 #: White space of all word and line contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -32,7 +32,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._settled = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote, once all that reads them is written itself."""
+    for df in tables:
+        discard(df.sparkSession, df._settled)
 
 
 def without(df: DataFrame, added) -> DataFrame:
