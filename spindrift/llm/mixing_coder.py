@@ -1,11 +1,11 @@
 """An adaptive range coder for token ids that mixes predictions of order 0, 1 and 2.
 
-Every block starts from an empty model and codes alone. In a block, tables keyed by the last id and by a hash of the
+Every block starts from the same model and codes alone. In a block, tables keyed by the last id and by a hash of the
 last two guess the next id, each guess with a confidence that hits raise and misses lower. The pair of confidences
-selects adaptive probabilities of "the order-2 guess is right" and "the order-1 guess is right"; what remains of the
-range goes to the order-0 distribution of the id's upper byte, counted in the block. A carry-free 64-bit range coder turns
-these choices into 16-bit words. The lower byte of an id that no guess met is close to uniform; it is kept as it is, in
-front of the words: u32 number of lower bytes, the lower bytes, the words.
+selects adaptive weights of the order-2 and the order-1 guess; what remains of the range is the order-0 distribution
+over all ids: the upper byte by counts that follow the block, the lower byte given the upper one. The order-0 model starts from
+the counts of the file (``Prior``), which its header holds. A carry-free 64-bit range coder turns one interval for each
+id into 16-bit words; nothing passes by it.
 
 Blocks do not depend on each other, so the blocks of a call are coded side by side: step t codes id t of all
 of them with numpy operations over the blocks.
@@ -13,65 +13,100 @@ of them with numpy operations over the blocks.
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
 
 BLOCK = 4096
-_SLOTS = 4096
+#: Bits of the order-0 distributions, of the weights, and of an interval.
+_SLOT_BITS, _WEIGHT_BITS, _BITS = 12, 16, 28
+_SLOTS, _ONE = 1 << _SLOT_BITS, 1 << _WEIGHT_BITS
 _TOP, _LEAST = np.uint64(48), np.uint64(1 << 32)
-_U16 = np.uint64(16)
-_MASK = np.uint64((1 << 32) - 1)
+_U16, _UBITS, _MASK = np.uint64(16), np.uint64(_BITS), np.uint64((1 << 32) - 1)
 #: Steps after which the order-0 distribution is renewed: often at first, then each 512.
-_RENEW = frozenset([32, 96, 224, *range(480, BLOCK, 512)])
+_RENEW = frozenset([16, 32, 64, 96, 160, 224, 320, *range(480, BLOCK, 512)])
+#: Weight of the file's counts of upper bytes, and of each id seen in the block.
+_START, _SEEN = 2048, 24
+#: Bits of the tables of guesses, and an id's share of the place in them.
+_ORDER1, _ORDER2 = 10, 11
+_HASH1 = np.arange(65536) * 40503 >> (16 - _ORDER1) & ((1 << _ORDER1) - 1)
+_HASH2, _HASH3 = (np.arange(65536) * m >> (16 - _ORDER2) & ((1 << _ORDER2) - 1) for m in (31153, 50021))
+#: Added to an entry by twice its confidence and whether its guess is right.
+_CHANGE = np.array([0, 1, -1, 1, -1, 1, -1, 0], np.int64) << 16
 
 
-class _Model:
-    ORDER1, ORDER2 = 10, 12
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Each row's counts as whole shares of _SLOTS, none of them 0."""
+    total = np.maximum(counts.sum(axis=-1, keepdims=True), 1)
+    shares = 1 + counts * (_SLOTS - counts.shape[-1]) // total
+    shares[np.arange(len(shares)), counts.argmax(axis=-1)] += _SLOTS - shares.sum(axis=-1)
+    return shares
+
+
+class Prior:
+    """The order-0 model that blocks start from: counts of the upper byte, and shares of the lower byte given the upper one."""
+
+    def __init__(self, upper: np.ndarray, lower: np.ndarray) -> None:
+        self.upper, self.lower = upper, lower
+        self.end = np.cumsum(lower, axis=1).reshape(-1).astype(np.int64)
+        self.start = self.end - lower.reshape(-1)
+        self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), 256), lower.reshape(-1))
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        counts = np.bincount(ids, minlength=65536).reshape(256, 256)
+        return cls(_shares(counts.sum(axis=1)[None])[0], _shares(counts))
 
-    def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.base1, self.base2, self.base_c = self.lane << self.ORDER1, self.lane << self.ORDER2, self.lane << 5
+    def to_bytes(self) -> bytes:
+        return zlib.compress(np.concatenate([self.upper, self.lower.reshape(-1)]).astype("<u2").tobytes(), 6)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Prior:
+        found = np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64)
+        return cls(found[:256], found[256:].reshape(256, 256))
+
+
+class _Model:
+    def __init__(self, lanes: int, prior: Prior) -> None:
+        lane = np.arange(lanes, dtype=np.int64)
+        self.lanes, self.base1, self.base2, self.base_c = lanes, lane << _ORDER1, lane << _ORDER2, lane << 4
         # Guess in the lower 16 bits, confidence 0 to 3 above.
-        self.table1, self.table2 = np.zeros(lanes << self.ORDER1, np.uint32), np.zeros(lanes << self.ORDER2, np.uint32)
-        self.right1, self.right2 = np.full(lanes << 5, 16384, np.int32), np.full(lanes << 5, 16384, np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.seen = np.tile(2048 // (8 + np.arange(256)), (lanes, 1)).astype(np.int32)
-        self.base_s, self.base_u, self.base_n = self.lane * 257, self.lane * _SLOTS, self.lane << 8
+        self.table1, self.table2 = np.zeros(lanes << _ORDER1, np.int32), np.zeros(lanes << _ORDER2, np.int32)
+        self.right1, self.right2 = np.full(lanes << 4, 16384, np.int32), np.full(lanes << 4, 16384, np.int32)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.seen = np.tile(1 + prior.upper * _START // _SLOTS, (lanes, 1)).astype(np.int32)
+        self.flat_seen = self.seen.reshape(-1)
+        self.base_s, self.base_u, self.base_n = lane * 257, lane * _SLOTS, lane << 8
         self.renew()
 
     def renew(self) -> None:
         total = np.cumsum(self.seen, axis=1, dtype=np.int64)
-        share = total * (_SLOTS - 256) // total[:, -1:]
-        bounds = np.zeros((len(self.lane), 257), np.int64)
-        bounds[:, 1:] = share + np.arange(1, 257)
+        bounds = np.zeros((self.lanes, 257), np.int64)
+        bounds[:, 1:] = total * (_SLOTS - 256) // total[:, -1:] + np.arange(1, 257)
         self.bounds = bounds.ravel()
-        self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(self.lane)), np.diff(bounds, axis=1).ravel())
+        self.symbol = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), np.diff(bounds, axis=1).ravel())
 
     def predict(self) -> None:
-        """Guesses and the parts of 65536 that they get: below f2 order 2, below f21 order 1, the rest order 0."""
-        self.at1 = self.base1 + ((self.last * 40503 >> 6) & ((1 << self.ORDER1) - 1))
-        self.at2 = self.base2 + (((self.last * 31153 + self.before * 50021) >> 5) & ((1 << self.ORDER2) - 1))
-        e1, e2 = self.table1[self.at1], self.table2[self.at2]
-        self.guess1, self.guess2 = (e1 & 0xFFFF).astype(np.int64), (e2 & 0xFFFF).astype(np.int64)
-        self.sure1, self.sure2 = e1 >> 16, e2 >> 16
-        self.context = self.base_c + (self.sure2 * 4 + self.sure1) + ((self.guess1 == self.guess2) << 4)
-        self.p1, self.p2 = self.right1[self.context], self.right2[self.context]
-        self.f2 = 32 + (self.p2 * 7 >> 3).astype(np.int64)
-        self.f21 = self.f2 + 32 + ((61000 - self.f2) * self.p1 >> 16)
-        self.rest = 65536 - self.f21
+        """Guesses and their weights: the part below f2 is order 2's, that below f21 order 1's, the rest order 0's."""
+        self.at1 = self.base1 + _HASH1.take(self.last)
+        self.at2 = self.base2 + (_HASH2.take(self.last) ^ _HASH3.take(self.before))
+        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.guess1, self.guess2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
+        self.sure1, self.sure2 = self.e1 >> 16, self.e2 >> 16
+        self.context = self.base_c + ((self.sure2 << 2) + self.sure1)
+        self.p1, self.p2 = self.right1.take(self.context), self.right2.take(self.context)
+        self.f2 = (self.p2 * 7 >> 3) + 32
+        self.f21 = self.f2 + 32 + ((61000 - self.f2).astype(np.int64) * self.p1 >> _WEIGHT_BITS)
+        self.rest = _ONE - self.f21
 
     def update(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        """``hit1``: the order-1 guess is right."""
-        for table, at, guess, sure, hit in ((self.table1, self.at1, self.guess1, self.sure1, hit1), (self.table2, self.at2, self.guess2, self.sure2, hit2)):
-            kept = np.where(hit | (sure > 0), guess, ids)
-            more = np.where(hit, np.minimum(sure + 1, 3), np.maximum(sure, 1) - 1)
-            table[at] = (more << 16) | kept.astype(np.uint32)
+        """``hit1``: the order-1 guess is right, ``hit2``: the order-2 guess is."""
+        for table, at, entry, sure, hit in ((self.table1, self.at1, self.e1, self.sure1, hit1), (self.table2, self.at2, self.e2, self.sure2, hit2)):
+            new = entry + _CHANGE.take((sure << 1) + hit)
+            table[at] = np.where(hit | (sure > 0), new, ids)
         self.right2[self.context] = self.p2 + ((hit2 * 65535 - self.p2) >> 5)
-        self.right1[self.context] = np.where(hit2, self.p1, self.p1 + ((hit1 * 65535 - self.p1) >> 5))
-        self.seen.reshape(-1)[self.base_n + (ids >> 8)] += 24
+        self.right1[self.context] = self.p1 + np.where(hit2, 0, (hit1 * 65535 - self.p1) >> 5)
+        self.flat_seen[self.base_n + (ids >> 8)] += _SEEN
         self.before, self.last = self.last, ids
 
 
@@ -97,72 +132,68 @@ def _open(low: np.ndarray, span: np.ndarray):
         span[lanes] <<= _U16
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[bytes]:
     """The coded bytes of each block of ``ids`` (each under 65536)."""
     n = len(ids)
     lanes = -(-n // block)
     if not lanes:
         return []
-    grid = np.zeros((lanes, block), np.int64)
+    grid = np.zeros((lanes, block), np.uint16)
     grid.reshape(-1)[:n] = ids
     grid = np.ascontiguousarray(grid.T)
-    steps = min(n, block)
-    short = n - (lanes - 1) * block
-    model = _Model(lanes)
+    steps, short = min(n, block), n - (lanes - 1) * block
+    model = _Model(lanes, prior)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
     words, used = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    lower, held = np.zeros((lanes, steps), np.uint8), np.zeros(lanes, np.int64)
+    flat_words, base_w = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1]
 
     closed = None
     for t in range(steps):
         if t == short and lanes > 1:
-            closed = (low[-1].copy(), used[-1].copy(), held[-1].copy())
+            closed = (low[-1].copy(), used[-1].copy())
         if t in _RENEW:
             model.renew()
         model.predict()
-        now = grid[t]
+        now = grid[t].astype(np.int64)
         hit2, hit1 = model.guess2 == now, model.guess1 == now
-        upper = now >> 8
-        at = model.base_s + upper
-        a, b = model.bounds[at], model.bounds[at + 1]
-        start0 = model.f21 + (model.rest * a >> 12)
-        end0 = model.f21 + (model.rest * b >> 12)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, start0))
-        end = np.where(hit2, model.f2, np.where(hit1, model.f21, end0))
-        part = span >> _U16
+        at = model.base_s + (now >> 8)
+        a = model.bounds.take(at)
+        wide = model.rest * (model.bounds.take(at + 1) - a)
+        begin = wide * prior.start.take(now) >> _SLOT_BITS
+        start = (model.f21 << _SLOT_BITS) + model.rest * a + begin
+        size = (wide * prior.end.take(now) >> _SLOT_BITS) - begin
+        f2 = model.f2.astype(np.int64) << _SLOT_BITS
+        start = np.where(hit2, 0, np.where(hit1, f2, start))
+        size = np.where(hit2, f2, np.where(hit1, (model.f21 << _SLOT_BITS) - f2, size))
+        part = span >> _UBITS
         low = low + part * start.astype(np.uint64)
-        span = part * (end - start).astype(np.uint64)
+        span = part * size.astype(np.uint64)
         for k in _open(low, span):
-            words[k, used[k]] = (low[k] >> _TOP).astype(np.uint16)
+            flat_words[base_w[k] + used[k]] = low[k] >> _TOP
             used[k] += 1
-        plain = np.flatnonzero(~(hit1 | hit2))
-        lower[plain, held[plain]] = now[plain] & 255
-        held[plain] += 1
         model.update(now, hit1, hit2)
-    ends = [(low[k], int(used[k]), int(held[k])) for k in range(lanes)]
+    ends = [(low[k], int(used[k])) for k in range(lanes)]
     if closed is not None:
-        ends[-1] = (closed[0], int(closed[1]), int(closed[2]))
-    tails = [[(int(x) >> s) & 0xFFFF for s in (48, 32, 16, 0)] for x, _, _ in ends]
-    return [struct.pack("<I", h) + lower[k, :h].tobytes() + np.concatenate([words[k, :u], np.array(tails[k], np.uint16)]).astype("<u2").tobytes() for k, (_, u, h) in enumerate(ends)]
+        ends[-1] = (closed[0], int(closed[1]))
+    tails = [[(int(x) >> s) & 0xFFFF for s in (48, 32, 16, 0)] for x, _ in ends]
+    return [np.concatenate([words[k, :u], np.array(tails[k], np.uint16)]).astype("<u2").tobytes() for k, (_, u) in enumerate(ends)]
 
 
-def decode_blocks(coded: list[bytes], sizes: list[int]) -> np.ndarray:
+def decode_blocks(coded: list[bytes], sizes: list[int], prior: Prior) -> np.ndarray:
     """The ids of blocks, in order; ``sizes``: ids of each."""
     lanes, steps = len(coded), max(sizes, default=0)
     if not steps:
         return np.empty(0, np.uint16)
-    plain_sizes = [struct.unpack_from("<I", c)[0] for c in coded]
-    lengths = [(len(c) - 4 - h) // 2 for c, h in zip(coded, plain_sizes)]
-    words, lower = np.zeros((lanes, max(lengths) + 2 * 8), np.uint64), np.zeros((lanes, max(plain_sizes) + 1), np.uint8)
-    for k, (c, h) in enumerate(zip(coded, plain_sizes)):
-        lower[k, :h] = np.frombuffer(c, np.uint8, h, 4)
-        words[k, : lengths[k]] = np.frombuffer(c, "<u2", lengths[k], 4 + h)
-    flat_lower, base_lower, end_lower, held = lower.reshape(-1), np.arange(lanes, dtype=np.int64) * lower.shape[1], lower.shape[1] - 1, np.zeros(lanes, np.int64)
-    flat, base = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1]
-    end = words.shape[1] - 1
-    model = _Model(lanes)
+    lengths = [len(c) // 2 for c in coded]
+    words = np.zeros((lanes, max(lengths) + 16), np.uint16)
+    for k, c in enumerate(coded):
+        words[k, : lengths[k]] = np.frombuffer(c, "<u2")
+    flat, base, end = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1], words.shape[1] - 1
+    model = _Model(lanes, prior)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << _U16) | words[:, 3]
+    code = np.zeros(lanes, np.uint64)
+    for k in range(4):
+        code = (code << _U16) | words[:, k]
     used = np.full(lanes, 4, np.int64)
     out = np.zeros((steps, lanes), np.uint16)
 
@@ -170,24 +201,28 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> np.ndarray:
         if t in _RENEW:
             model.renew()
         model.predict()
-        part = np.maximum(span >> _U16, np.uint64(1))
-        at = np.minimum((code - low) // part, np.uint64(65535)).astype(np.int64)
-        is2 = at < model.f2
-        is1 = ~is2 & (at < model.f21)
-        slot = np.clip(((at - model.f21 + 1) * _SLOTS - 1) // model.rest, 0, _SLOTS - 1)
-        upper = model.symbol[model.base_u + slot].astype(np.int64)
+        part = np.maximum(span >> _UBITS, np.uint64(1))
+        # Lanes that have ended go on over zeros, and what they give is cut off.
+        at = np.minimum((code - low) // part, np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        f2, f21 = model.f2.astype(np.int64) << _SLOT_BITS, model.f21 << _SLOT_BITS
+        is2 = at < f2
+        is1 = (at < f21) & ~is2
+        x = np.maximum(at - f21, 0)
+        upper = model.symbol.take(model.base_u + np.minimum(x // model.rest, _SLOTS - 1)).astype(np.int64)
         where = model.base_s + upper
-        a, b = model.bounds[where], model.bounds[where + 1]
-        start = np.where(is2, 0, np.where(is1, model.f2, model.f21 + (model.rest * a >> 12)))
-        stop = np.where(is2, model.f2, np.where(is1, model.f21, model.f21 + (model.rest * b >> 12)))
+        a = model.bounds.take(where)
+        wide, inside = model.rest * (model.bounds.take(where + 1) - a), model.rest * a
+        slot = np.minimum((((x - inside + 1) << _SLOT_BITS) - 1) // wide, _SLOTS - 1)
+        ids = (upper << 8) | prior.symbol.take((upper << _SLOT_BITS) + slot)
+        begin = wide * prior.start.take(ids) >> _SLOT_BITS
+        start = np.where(is2, 0, np.where(is1, f2, f21 + inside + begin))
+        size = np.where(is2, f2, np.where(is1, f21 - f2, (wide * prior.end.take(ids) >> _SLOT_BITS) - begin))
         low = low + part * start.astype(np.uint64)
-        span = part * (stop - start).astype(np.uint64)
+        span = part * size.astype(np.uint64)
         for k in _open(low, span):
             code[k] = (code[k] << _U16) | flat[base[k] + np.minimum(used[k], end)]
             used[k] += 1
-        byte = flat_lower[base_lower + np.minimum(held, end_lower)]
-        ids = np.where(is2, model.guess2, np.where(is1, model.guess1, (upper << 8) | byte))
-        held += ~(is1 | is2)
+        ids = np.where(is2, model.guess2, np.where(is1, model.guess1, ids))
         out[t] = ids
         model.update(ids, model.guess1 == ids, model.guess2 == ids)
     whole = np.ascontiguousarray(out.T)

@@ -4,12 +4,13 @@ Documents are range-partitioned by id and sorted, each partition writes one or m
 and a small table says which shards there are. A shard is
 
     magic, u32 version, u32 header bytes, u32 crc32 of the header,
-    header: u32 block size, u32 blocks, u64 documents, u64 bytes of the document table,
+    header: u32 block size, u32 blocks, u64 documents, u64 bytes of the document table, u64 bytes of the order-0 model,
             per block u32 ids, u32 bytes, u32 crc32 of the ids, u32 crc32 of the bytes,
             the document table (zlib): i64 ids, then u64 sizes,
+            the order-0 model that every block starts from (zlib),
     the blocks' bytes.
 
-Each block decodes alone and is checked twice. Files are written under a name of the attempt and then
+With the header, each block decodes alone, and is checked twice. Files are written under a name of the attempt and then
 moved, so a task that runs again leaves the same file. They go to shared storage through pyarrow's file systems.
 
 Defined cases: a null or empty text is the end id alone; a null document id comes first (kept as the smallest integer in the
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import settle, shared_path
-from spindrift.llm.mixing_coder import BLOCK, checksum, decode_blocks, encode_blocks
+from spindrift.llm.mixing_coder import BLOCK, Prior, checksum, decode_blocks, encode_blocks
 from spindrift.llm.word_bpe import default_tokenizer, slices, word_bpe
 
-MAGIC = b"SPMIXER\n"
+MAGIC, VERSION = b"SPMIXER\n", 2
 #: Ids of a shard, about, and ids decoded side by side.
-SHARD_IDS = 6_000_000
+SHARD_IDS = 10_000_000
 NULL_ID = -(2**63)
 MANIFEST = "part int, shard int, path string, n_docs long, n_ids long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -47,13 +48,12 @@ def _filesystem(path: str):
 
 
 def shard_bytes(doc_ids: list[int], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    # The blocks of a shard are coded side by side, so a small shard takes shorter blocks rather than few.
-    block = min(BLOCK, max(256, 1 << (len(ids) // 1024).bit_length()))
-    coded = encode_blocks(ids, block)
-    rows = [(len(part := ids[k * block : (k + 1) * block]), len(c), checksum(part), zlib.crc32(c)) for k, c in enumerate(coded)]
+    prior = Prior.of(ids)
+    coded, model = encode_blocks(ids, prior), prior.to_bytes()
+    rows = [(len(part := ids[k * BLOCK : (k + 1) * BLOCK]), len(c), checksum(part), zlib.crc32(c)) for k, c in enumerate(coded)]
     docs = zlib.compress(np.array(doc_ids, "<i8").tobytes() + np.asarray(sizes).astype("<u8").tobytes())
-    header = struct.pack("<IIQQ", block, len(coded), len(doc_ids), len(docs)) + np.array(rows, "<u4").tobytes() + docs
-    return b"".join([MAGIC, struct.pack("<III", 1, len(header), zlib.crc32(header)), header, *coded])
+    header = struct.pack("<IIQQQ", BLOCK, len(coded), len(doc_ids), len(docs), len(model)) + np.array(rows, "<u4").tobytes() + docs + model
+    return b"".join([MAGIC, struct.pack("<III", VERSION, len(header), zlib.crc32(header)), header, *coded])
 
 
 def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,11 +62,12 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("not a token shard")
     version, size, crc = struct.unpack_from("<III", data, 8)
     header = data[20 : 20 + size]
-    if version != 1 or zlib.crc32(header) != crc:
+    if version != VERSION or zlib.crc32(header) != crc:
         raise ValueError("the shard's header is damaged")
-    block, n_blocks, n_docs, table = struct.unpack_from("<IIQQ", header)
-    rows = np.frombuffer(header, "<u4", n_blocks * 4, 24).reshape(-1, 4)
-    docs = zlib.decompress(header[24 + 16 * n_blocks : 24 + 16 * n_blocks + table])
+    block, n_blocks, n_docs, table, model = struct.unpack_from("<IIQQQ", header)
+    rows = np.frombuffer(header, "<u4", n_blocks * 4, 32).reshape(-1, 4)
+    after = 32 + 16 * n_blocks
+    docs, prior = zlib.decompress(header[after : after + table]), Prior.from_bytes(header[after + table : after + table + model])
     doc_ids, sizes = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, "<u8", n_docs, 8 * n_docs).astype(np.int64)
     at, parts = 20 + size, []
     lanes = max(1, SHARD_IDS // block)
@@ -77,7 +78,7 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at += length
             if zlib.crc32(coded[-1]) != crc:
                 raise ValueError(f"block {first + k} of the shard is damaged")
-        ids = decode_blocks(coded, own[:, 0].tolist())
+        ids = decode_blocks(coded, own[:, 0].tolist(), prior)
         ends = np.cumsum(own[:, 0])
         for k, (n, _, crc, _) in enumerate(own.tolist()):
             if checksum(ids[ends[k] - n : ends[k]]) != crc:
