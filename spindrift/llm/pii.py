@@ -1,7 +1,8 @@
-"""Personal data: base rules for e-mail, IP, card and phone, and a character BiLSTM-CRF that adds what they miss.
+"""Personal data: base rules for e-mail, IP, card and phone, and a character BiLSTM-CRF that adds what they miss, secrets too.
 
-The model is trained in numpy on the driver, from labelled spans: windows around base spans of a bounded sample of documents, the
-same windows with the span written in another usual way (the label stays), and windows with digits that hold none. It is
+The model is trained in numpy on the driver, from labelled spans: windows around base spans, and around values that are assigned to
+a name like ``token`` or ``password``, of a bounded sample of documents; the
+same windows with the span written in another usual way (the label stays); and windows with digits that hold none. It is
 broadcast (its size is fixed), and runs wherever a text can hold a span: around every digit, "@" and "[at]". Windows of such a
 stretch overlap; each is decoded, and every character takes its tag from the window in which it stands most
 central, so one tag sequence for the whole text results. Its spans are added if they pass the check of their
@@ -27,9 +28,14 @@ from spindrift.llm.common import without
 from spindrift.llm.lstm_crf import Model, encode, pad, train
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, MARGIN = 64, 32, 24
+#: What the model tells apart: the kinds of the base rules, and secrets (keys, tokens, passwords).
+SEEN = (*KINDS, "secret")
+#: Any span of 64 characters lies whole in one of the windows, which overlap by two thirds.
+WINDOW, STRIDE, MARGIN = 96, 32, 24
 #: Documents and windows to learn from, at most about.
 TRAIN_DOCS, TRAIN_WINDOWS = 6_000, 700
+#: Labels of secrets.
+_ASSIGNED = re.compile(r"""\b(?:token|secret|password|passwd|api[_-]?key)\b\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_-]{16,64})(?![A-Za-z0-9+/_-])""", re.I)
 
 #: Fixed patterns of the contract (the e-mail's is in base_spans).
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -68,12 +74,19 @@ def base_spans(text: str) -> list[Span]:
             found.append((start, 0, done))
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or 0) < 256 for part in m[0].split("."))]
         found += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return sorted(found)
 
 
+def labelled_spans(text: str) -> list[Span]:
+    """What the model learns from: base spans, and assigned secrets that touch none."""
+    base = base_spans(text)
+    secrets = [(m.start(1), 4, m.end(1)) for m in _ASSIGNED.finditer(text)] if _DIGIT.search(text) else []
+    return sorted([*base, *(s for s in secrets if not any(a < s[2] and s[0] < b for a, _, b in base))])
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """The parts of a text that can hold a span."""
     out: list[list[int]] = []
@@ -97,6 +110,7 @@ _FORMS = (
     re.compile(r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7}"),
     re.compile(r"[0-9]{4}(?:[ ./-]{1,3}[0-9]{2,6}){2,5}"),
     re.compile(r"\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){2,4}"),
+    re.compile(r"(?=.{0,60}?[0-9].{0,60}?[0-9])(?=.{0,60}?[A-Za-z].{0,60}?[A-Za-z])[A-Za-z0-9+/_-]{16,64}"),
 )
 
 
@@ -119,10 +133,19 @@ def _reworded(kind: int, span: str, rng: random.Random) -> str:
     if kind == 2:
         d = _digits(span)
         return rng.choice([" ", "-", ".", " - "]).join(d[k : k + 4] for k in range(0, len(d), 4))
+    if kind == 4:
+        letters = rng.choice(["0123456789abcdef", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "_-"])
+        return "".join(rng.choice(letters) for _ in range(rng.choice([20, 24, 32, 40, 40, 48])))
     d = _digits(span)
     return rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "{}/{}-{}"]).format(d[-10:-7] or "555", d[-7:-4], d[-4:])
 
 
+def _renamed(before: str, rng: random.Random) -> str:
+    """What stands before an assigned secret, with another name and sign."""
+    name = "".join(rng.choice(string.ascii_lowercase + "_") for _ in range(rng.randrange(3, 10)))
+    return re.sub(r"""[\w-]+\s*[:=]\s*["']?$""", lambda _: name + rng.choice([" = ", "=", ": ", ":", " "]) + rng.choice(['"', "'", ""]), before)
+
+
 def _tags(length: int, spans: list[Span], start: int) -> np.ndarray:
     """0, or 1 + 2 * kind on a span's first character and 2 + 2 * kind on the others."""
     tags = np.zeros(length, np.int64)
@@ -143,7 +166,7 @@ def learn(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Model | No
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text or "")
+                spans = labelled_spans(text or "")
                 for a, b in stretches(text or ""):
                     inside = [s for s in spans if a <= s[0] and s[2] <= b]
                     if b - a <= 2 * WINDOW and len(inside) < 3:
@@ -163,11 +186,11 @@ def learn(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Model | No
         texts.append(encode(row["text"]))
         tags.append(_tags(len(row["text"]), spans, 0))
         for (a, kind, b), _ in [(s, n) for s in spans for n in range(2)] if len(spans) == 1 else []:
-            new = _reworded(kind, row["text"][a:b], rng)
-            text = row["text"][:a] + new + row["text"][b:]
+            new, before = _reworded(kind, row["text"][a:b], rng), row["text"][:a] if kind != 4 else _renamed(row["text"][:a], rng)
+            text, a = before + new + row["text"][b:], len(before)
             texts.append(encode(text))
             tags.append(_tags(len(text), [(a, kind, a + len(new))], 0))
-    return train(texts, tags, 1 + 2 * len(KINDS), epochs=14, batch=96, rate=0.02, seed=seed)
+    return train(texts, tags, 1 + 2 * len(SEEN), epochs=14, batch=96, rate=0.02, seed=seed)
 
 
 def model_spans(model: Model, texts: list[str], rows: int = 1024) -> list[list[Span]]:
@@ -218,26 +241,26 @@ def all_spans(model: Model | None, texts: list[str | None]) -> list[tuple[list[S
 
 
 def shown(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{SEEN[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def find_pii(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
-    """All columns but the text, with n_email, n_ip, n_card, n_phone (long, base spans), base_spans and spans (strings)."""
-    docs = without(docs, (*[f"n_{k}" for k in KINDS], "base_spans", "spans"))
+    """All columns but the text, with n_email, n_ip, n_card, n_phone (long, base spans), base_spans and spans (strings), n_added (long: spans of the model)."""
+    docs = without(docs, (*[f"n_{k}" for k in KINDS], "base_spans", "spans", "n_added"))
     model = model or learn(docs, text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != text_col]
     schema = StructType([docs.schema[c] for c in kept])
     for k in KINDS:
         schema = schema.add(f"n_{k}", LongType())
-    schema = schema.add("base_spans", StringType()).add("spans", StringType())
+    schema = schema.add("base_spans", StringType()).add("spans", StringType()).add("n_added", LongType())
 
     def run(batches):
         for batch in batches:
             *own, texts = batch.columns
             found = all_spans(held.value, texts.to_pylist())
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([*own, *counts, pa.array([shown(b) for b, _ in found], pa.string()), pa.array([shown(a) for _, a in found], pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*own, *counts, pa.array([shown(b) for b, _ in found], pa.string()), pa.array([shown(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())], schema.names)
 
     return docs.select(*kept, text_col).mapInArrow(run, schema)
 
