@@ -81,19 +81,9 @@ for _metric in v.METRICS:
 
 
 def _search(spark, sf_dir, **rules) -> DataFrame:
-    df = _vectors(spark, sf_dir)
-    made = knn.plan(["label"], **rules)
-    for p in made.before:
-        df = df.where(p.sql())
-    found = _rounded(df, "l2", _query(spark, sf_dir)).orderBy("distance", "vec_id")
-    found = found if made.k is None else found.limit(made.k)
-    for p in made.after:
-        found = found.where(p.sql())
-    if made.order_by and list(made.order_by) != [("distance", True)]:
-        found = found.orderBy(*[F.col(c) if up else F.col(c).desc() for c, up in made.order_by], F.col("vec_id").desc())
-    if made.offset:
-        found = found.offset(made.offset)
-    return (found if made.limit is None else found.limit(made.limit)).select("vec_id", "distance")
+    """Through the library's planner; distances are rounded as in the SQL before they are ordered."""
+    found = knn.search(_vectors(spark, sf_dir), _query(spark, sf_dir), ["label"], metric="l2", id_col="vec_id", kind="float8", digits=6, **rules)
+    return found.select("vec_id", "distance")
 
 
 _RANKED = f"SELECT vec_id, label, {_duck('l2')} AS distance FROM embeddings"
@@ -112,7 +102,7 @@ _add_search("knn_limit_zero", f"SELECT vec_id, distance FROM ({_RANKED}) LIMIT 0
 _add_search("knn_negative_limit", f"SELECT vec_id, distance FROM ({_RANKED})", limit=-1)
 _add_search("knn_huge_limit", f"SELECT vec_id, distance FROM ({_RANKED})", limit=5_000_000_000)
 _add_search("knn_offset", f"SELECT vec_id, distance FROM ({_RANKED}) ORDER BY distance, vec_id LIMIT 10 OFFSET 5", limit=10, offset=5)
-_add_search("knn_order_desc", f"SELECT vec_id, distance FROM (SELECT * FROM ({_RANKED}) ORDER BY distance, vec_id LIMIT 100) ORDER BY distance DESC, vec_id DESC LIMIT 5", order_by=[("distance", False)], limit=5)
+_add_search("knn_order_desc", f"SELECT vec_id, distance FROM (SELECT * FROM ({_RANKED}) ORDER BY distance, vec_id LIMIT 100) ORDER BY distance DESC, vec_id DESC LIMIT 5", order_by=[("distance", False), ("vec_id", False)], limit=5)
 _add_search("knn_postfilter", f"SELECT vec_id, distance FROM (SELECT * FROM ({_RANKED}) ORDER BY distance, vec_id LIMIT 100) WHERE label <> 3", where=[Predicate("label", "<>", 3)])
 
 
@@ -236,7 +226,7 @@ def arrow_roundtrip(spark, sf_dir):
 
 @_sql("SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(NULL AS DOUBLE) AS distance FROM embeddings")
 def full_scan(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("vec_id", "label", F.lit(None).cast("double").alias("distance"))
+    return _seeded(spark, sf_dir).scan().select(F.col("id").alias("vec_id"), F.col("label").cast("int").alias("label"), "distance")
 
 
 @_sql("SELECT count(*) AS n, max(vec_id) AS high FROM embeddings")
@@ -251,7 +241,7 @@ def scan_filter(spark, sf_dir):
 
 @_sql("SELECT vec_id, label FROM embeddings WHERE vec_id = 7")
 def lookup_id(spark, sf_dir):
-    return _vectors(spark, sf_dir).where("vec_id = 7").select("vec_id", "label")
+    return _seeded(spark, sf_dir).rows().where("id = 7").select(F.col("id").alias("vec_id"), F.col("label").cast("int").alias("label"))
 
 
 @_sql(f"SELECT vec_id, {_duck('cosine')} AS distance FROM embeddings")
@@ -363,10 +353,11 @@ _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 ,.?"
 def doc_char_freq_knn(spark, sf_dir):
     """Documents by the frequencies of their characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    low = F.lower("text")
-    share = [(F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double") / F.greatest(F.octet_length("text"), F.lit(1)) for c in _CHARS]
-    df = docs.select("doc_id", F.array(*share).alias("raw")).where(F.exists("raw", lambda x: x > 0))
-    df = df.select("doc_id", F.expr(v.normalize("raw", "float8")).alias("vector"))
+    # A generated row each time, so that no later expression pulls the counts into itself and repeats them.
+    low = docs.select("doc_id", F.octet_length("text").alias("size"), F.explode(F.array(F.lower("text"))).alias("low"))
+    share = [(F.char_length("low") - F.char_length(F.replace("low", F.lit(c), F.lit("")))).cast("double") / F.greatest("size", F.lit(1)) for c in _CHARS]
+    raw = low.select("doc_id", F.explode(F.array(F.array(*share))).alias("raw")).where(F.exists("raw", lambda x: x > 0))
+    df = raw.select("doc_id", F.expr(v.normalize("raw", "float8")).alias("vector"))
     query = df.orderBy("doc_id").first()["vector"]
     found = knn.with_distance(df, query, "cosine", kind="float8").select("doc_id", (F.round("distance", 6) + 0.0).alias("distance"))
     return found.orderBy("distance", "doc_id").limit(10)

@@ -126,13 +126,18 @@ def distance(a: str, b: str, metric: str, name: str = "float4") -> str:
     return f"case when {a} is null or {b} is null then null when size({a}) != size({b}) then cast(raise_error('vector dimensions do not match') as double) else cast({made} as double) end"
 
 
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once: Spark would evaluate it again wherever a lambda mentions it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def normalize(v: str, name: str = "float4") -> str:
     """Divided by the Euclidean norm; integers become float4."""
     kind = check_type(name) if name in FLOATS else "float4"
-    norm = f"sqrt({_sum(f'transform({v}, x -> cast(x as double) * cast(x as double))', 'double')})"
-    made = narrowed("x", kind)
-    scaled = f"transform(transform({v}, x -> cast(x as double) / {norm}), x -> {made})"
-    return f"case when {v} is null then null when {norm} = 0 then cast(raise_error('cannot normalize a zero vector') as array<{TYPES[kind][0]}>) else {scaled} end"
+    norm = f"sqrt({_sum('transform(v_, x -> cast(x as double) * cast(x as double))', 'double')})"
+    scaled = f"transform(transform(v_, x -> cast(x as double) / n_), x -> {narrowed('x', kind)})"
+    fail = f"cast(raise_error('cannot normalize a zero vector') as array<{TYPES[kind][0]}>)"
+    return let(v, "v_", let(norm, "n_", f"case when v_ is null then null when n_ = 0 then {fail} else {scaled} end"))
 
 
 def _pairwise(a: str, b: str, sign: str, name: str) -> str:
@@ -161,8 +166,9 @@ def slice_(v: str, start: str, end: str, name: str = "float4") -> str:
 def quantize_int8(v: str, name: str = "float4") -> str:
     """Scaled so that the largest magnitude is 127, and rounded half away from zero."""
     check_type(name)
-    top = f"array_max(transform({v}, x -> abs(cast(x as double))))"
-    return f"case when {v} is null then null when coalesce({top}, 0D) = 0 then transform({v}, x -> cast(0 as tinyint)) else transform({v}, x -> cast(greatest(-127D, least(127D, round(cast(x as double) * (127D / {top})))) as tinyint)) end"
+    top = "coalesce(array_max(transform(v_, x -> abs(cast(x as double)))), 0D)"
+    scaled = "transform(v_, x -> cast(greatest(-127D, least(127D, round(cast(x as double) * (127D / t_)))) as tinyint))"
+    return let(v, "v_", let(top, "t_", f"case when v_ is null then null when t_ = 0 then transform(v_, x -> cast(0 as tinyint)) else {scaled} end"))
 
 
 def valid(v: str, dim: int, name: str) -> str:

@@ -22,22 +22,27 @@ from spindrift.plans.knn_plan import KnnPlan, Predicate, plan
 
 #: Bytes of query vectors broadcast at once.
 QUERY_BLOCK_BYTES = 64 << 20
+#: Distances computed at once: queries of a block times rows of a batch.
+SCORES = 4 << 20
 
 
 def with_distance(df: DataFrame, query: Sequence[float], metric: str = "l2", vector: str = "vector", kind: str = "float4") -> DataFrame:
     return df.withColumn("distance", F.expr(distance(f"`{vector}`", literal(query), metric, kind)))
 
 
-def nearest(df: DataFrame, query: Sequence[float], k: int | None, metric: str = "l2", vector: str = "vector", id_col: str = "id", kind: str = "float4") -> DataFrame:
-    """The k nearest rows with ``distance``, nearest first; k None: all rows."""
-    found = with_distance(df, query, metric, vector, kind).orderBy("distance", id_col)
+def nearest(df: DataFrame, query: Sequence[float], k: int | None, metric: str = "l2", vector: str = "vector", id_col: str = "id", kind: str = "float4", digits: int | None = None) -> DataFrame:
+    """The k nearest rows with ``distance``, nearest first; k None: all rows. ``digits``: distances are rounded before they are ordered."""
+    found = with_distance(df, query, metric, vector, kind)
+    if digits is not None:
+        found = found.withColumn("distance", F.round("distance", digits) + 0.0)
+    found = found.orderBy("distance", id_col)
     return found if k is None else found.limit(k)
 
 
-def run_plan(df: DataFrame, query: Sequence[float], plan: KnnPlan, metric: str = "l2", vector: str = "vector", id_col: str = "id", kind: str = "float4") -> DataFrame:
+def run_plan(df: DataFrame, query: Sequence[float], plan: KnnPlan, metric: str = "l2", vector: str = "vector", id_col: str = "id", kind: str = "float4", digits: int | None = None) -> DataFrame:
     for p in plan.before:
         df = df.where(p.sql())
-    found = nearest(df, query, plan.k, metric, vector, id_col, kind)
+    found = nearest(df, query, plan.k, metric, vector, id_col, kind, digits)
     for p in plan.after:
         found = found.where(p.sql())
     if plan.order_by and list(plan.order_by) != [("distance", True)]:
@@ -47,9 +52,9 @@ def run_plan(df: DataFrame, query: Sequence[float], plan: KnnPlan, metric: str =
     return found if plan.limit is None else found.limit(plan.limit)
 
 
-def search(df: DataFrame, query: Sequence[float], metadata: Sequence[str] = (), where: Sequence[Predicate] = (), limit: int | None = None, order_by: Sequence[tuple[str, bool]] = (), offset: int = 0, metric: str = "l2", vector: str = "vector", id_col: str = "id", kind: str = "float4") -> DataFrame:
+def search(df: DataFrame, query: Sequence[float], metadata: Sequence[str] = (), where: Sequence[Predicate] = (), limit: int | None = None, order_by: Sequence[tuple[str, bool]] = (), offset: int = 0, metric: str = "l2", vector: str = "vector", id_col: str = "id", kind: str = "float4", digits: int | None = None) -> DataFrame:
     """A nearest-neighbour query with predicates, order and limit, under the rules of ``plans.knn_plan``."""
-    return run_plan(df, query, plan(metadata, where, limit, order_by, offset), metric, vector, id_col, kind)
+    return run_plan(df, query, plan(metadata, where, limit, order_by, offset), metric, vector, id_col, kind, digits)
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
@@ -83,22 +88,30 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", qu
 
         def answer(batches, held=held):
             ids, matrix = held.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+            if not len(ids):
+                return
+            # The k best of each query so far; an infinite distance is an empty place.
+            best, best_ids = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            step = max(1, SCORES // len(ids))
             for batch in batches:
-                rows = np.asarray(batch.column(0))
-                if not len(rows) or not len(ids):
-                    continue
-                scores = np.round(_scores(matrix, np.asarray(batch.column(1).flatten()).reshape(len(rows), -1), metric), digits) + 0.0
-                for q in range(len(ids)):
-                    s, r = scores[q], rows
+                rows, flat = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten())
+                vectors = flat.reshape(len(rows), -1) if len(rows) else flat
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    order = np.argsort(some, kind="stable")
+                    some = some[order]
+                    scores = np.round(_scores(matrix, vectors[at : at + step][order], metric), digits) + 0.0
                     if exclude_same:
-                        s, r = s[r != ids[q]], r[r != ids[q]]
-                    s, r = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], r])
-                    top = np.lexsort((r, s))[:k]
-                    best[q] = (s[top], r[top])
-            sizes = [len(s) for s, _ in best]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([r for _, r in best])), pa.array(np.concatenate([s for s, _ in best]))], ["q", "id", "distance"])
+                        scores[some[None, :] == ids[:, None]] = np.inf
+                    # Rows come in order of id, so a stable sort settles ties by id.
+                    top = np.argsort(scores, axis=1, kind="stable")[:, :k]
+                    all_scores = np.concatenate([best, np.take_along_axis(scores, top, axis=1)], axis=1)
+                    all_ids = np.concatenate([best_ids, some[top]], axis=1)
+                    first = np.lexsort((all_ids, all_scores), axis=1)[:, :k]
+                    best, best_ids = np.take_along_axis(all_scores, first, axis=1), np.take_along_axis(all_ids, first, axis=1)
+            found = np.isfinite(best)
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(axis=1))), pa.array(best_ids[found]), pa.array(best[found])], ["q", "id", "distance"])
 
         some = data.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(answer, "q long, id long, distance double")
         answers = some if answers is None else answers.unionByName(some)
