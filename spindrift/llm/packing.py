@@ -3,7 +3,7 @@
 A document's ids are cut into full sequences and a rest. Full ones are sequences of their own. The rests are the items of
 a cutting-stock problem: their lengths, in classes, make a histogram of fixed size; a linear program over patterns (how
 many items of each class share a sequence) is solved on the driver, where a knapsack dynamic program over the dual prices
-finds each next pattern, until the value is proven to be within half a sequence or one in 10,000 of the optimum; the
+finds each next pattern, until the value is proven to be within one sequence or one in 2,000 of the optimum; the
 rounded-down solution says how often each pattern is used, and what rounding leaves over is packed first-fit decreasing, by
 class counts alone. Documents are ranked within their class, in
 parallel (counts by class and block of ids give each block's first rank), and the rank says pattern, copy and
@@ -134,8 +134,8 @@ class _Simplex:
         return True
 
 
-#: The linear program is solved where its value is proven to lie within half a sequence, or this share, of the optimum.
-GAP = 1e-4
+#: The linear program is solved where its value is proven to lie within one sequence, or this share, of the optimum.
+GAP = 5e-4
 #: Rooms below the capacity whose best patterns are priced in each round too.
 ROOMS = 16
 
@@ -155,7 +155,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
         prices = np.maximum(program.prices(), 0)
         knapsack.solve(prices)
         bound = max(bound, float(prices @ demand) / max(knapsack.worth[capacity], 1.0))
-        if program.uses.sum() - bound <= max(0.5, GAP * bound):
+        if program.uses.sum() - bound <= max(1.0, GAP * bound):
             break
         rooms = [r for r in range(capacity, max(0, capacity - ROOMS), -1) if knapsack.worth[r] > 1 + 1e-9]
         if not sum([program.enter(knapsack.pattern(r)) for r in rooms]):
