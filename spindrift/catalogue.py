@@ -352,13 +352,15 @@ _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 ,.?"
 )
 def doc_char_freq_knn(spark, sf_dir):
     """Documents by the frequencies of their characters."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    # A generated row each time, so that no later expression pulls the counts into itself and repeats them.
-    low = docs.select("doc_id", F.octet_length("text").alias("size"), F.explode(F.array(F.lower("text"))).alias("low"))
-    share = [(F.char_length("low") - F.char_length(F.replace("low", F.lit(c), F.lit("")))).cast("double") / F.greatest("size", F.lit(1)) for c in _CHARS]
-    raw = low.select("doc_id", F.explode(F.array(F.array(*share))).alias("raw")).where(F.exists("raw", lambda x: x > 0))
-    df = raw.select("doc_id", F.expr(v.normalize("raw", "float8")).alias("vector"))
-    query = df.orderBy("doc_id").first()["vector"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.lower("text").rlike("[a-z0-9 ,.?]"))
+
+    def frequencies(rows: DataFrame) -> DataFrame:
+        # A generated row each time, so that no later expression pulls the counts into itself and repeats them.
+        low = rows.select("doc_id", F.octet_length("text").alias("size"), F.explode(F.array(F.lower("text"))).alias("low"))
+        share = [(F.char_length("low") - F.char_length(F.replace("low", F.lit(c), F.lit("")))).cast("double") / F.greatest("size", F.lit(1)) for c in _CHARS]
+        return low.select("doc_id", F.explode(F.array(F.array(*share))).alias("raw")).select("doc_id", F.expr(v.normalize("raw", "float8")).alias("vector"))
+
+    df, query = frequencies(docs), frequencies(docs.orderBy("doc_id").limit(1)).first()["vector"]
     found = knn.with_distance(df, query, "cosine", kind="float8").select("doc_id", (F.round("distance", 6) + 0.0).alias("distance"))
     return found.orderBy("distance", "doc_id").limit(10)
 

@@ -1,7 +1,7 @@
 """Vector tables: immutable Parquet snapshots under a manifest, with transactions and savepoints.
 
-A table is a folder: ``v=N`` holds snapshot N, ``manifest-N.json`` says what it is, and the manifest of the highest number is
-the current one. A commit writes the snapshot first and then creates its manifest, which fails if another writer has made
+A table is a folder: a snapshot is some of its ``v=N`` folders, ``manifest-N.json`` says which, and the manifest of the highest
+number is the current one. An insert adds one folder of the new rows; an update or delete writes the snapshot anew. A commit writes the snapshot first and then creates its manifest, which fails if another writer has made
 it: so a commit is atomic, and a table has one writer at a time. All files go through the Hadoop file system of the session.
 
 A table of mode ``hnsw`` has an inverted-file index, which knows the snapshot that it covers. A search of another
@@ -26,9 +26,11 @@ from spindrift.operators import knn
 from spindrift.operators.ivf import IvfIndex
 from spindrift.plans.knn_plan import Predicate
 from spindrift.sources import codec
-from spindrift.storage import shared_path
+from spindrift.storage import discard, shared_path
 
 MODES = ("hnsw", "exact")
+#: Folders of a snapshot at most: an insert into one of so many writes all rows into one.
+MAX_FOLDERS = 64
 _DECLARED = {"TEXT": "string", "INTEGER": "bigint", "REAL": "double", "BLOB": "binary"}
 
 
@@ -83,9 +85,9 @@ class Config:
 
 @dataclass(frozen=True)
 class State:
-    """What a version of a table is: its snapshot (none: empty) and counters."""
+    """What a version of a table is: the folders of its snapshot (none: empty) and counters."""
 
-    snapshot: int | None = None
+    snapshot: tuple[int, ...] = ()
     next_id: int = 1
     changes: int = 0
     destructive: bool = False
@@ -97,7 +99,7 @@ class State:
 class Covered:
     """The snapshot that an index covers, the table's rows and total of changes when its cells were fitted, and its number if persisted."""
 
-    snapshot: int
+    snapshot: tuple[int, ...]
     rows: int
     total: int
     number: int | None = None
@@ -119,9 +121,9 @@ class VectorTable:
         """id, vector and the metadata columns."""
         if self.state.pending is not None:
             return self.state.pending
-        if self.state.snapshot is None:
+        if not self.state.snapshot:
             return self.spark.createDataFrame([], self.config.schema())
-        return self.spark.read.schema(self.config.schema()).parquet(self._folder(self.state.snapshot))
+        return self.spark.read.schema(self.config.schema()).parquet(*map(self._folder, self.state.snapshot))
 
     def scan(self) -> DataFrame:
         """The rows with the distance column, which only a search fills."""
@@ -133,11 +135,14 @@ class VectorTable:
     def _valid(self, df: DataFrame) -> DataFrame:
         return df.withColumn("vector", F.expr(v.valid("vector", self.config.dim, self.config.type)))
 
-    def _change(self, df: DataFrame, n: int, destructive: bool, next_id: int | None = None) -> None:
-        """A new version: staged inside a transaction, else committed at once."""
+    def _change(self, df: DataFrame, n: int, destructive: bool, next_id: int | None = None, append: bool = False) -> None:
+        """A new version, of these rows or with them added: staged inside a transaction, else committed at once."""
+        if append and len(self.state.snapshot) >= MAX_FOLDERS:
+            df, append = self.rows().unionByName(df), False
         number = self.catalog.next_snapshot(self.config.name)
         df.write.parquet(self._folder(number))
-        self.state = replace(self.state, snapshot=number, pending=None, changes=self.state.changes + n, total=self.state.total + n, destructive=self.state.destructive or destructive, next_id=next_id or self.state.next_id)
+        snapshot = (*self.state.snapshot, number) if append else (number,)
+        self.state = replace(self.state, snapshot=snapshot, pending=None, changes=self.state.changes + n, total=self.state.total + n, destructive=self.state.destructive or destructive, next_id=next_id or self.state.next_id)
         if self.begun is None:
             self._publish()
 
@@ -162,18 +167,26 @@ class VectorTable:
         if "id" not in have:
             df = df.withColumn("id", F.lit(None).cast("bigint"))
         df = df.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast(f"array<{'double' if self.config.type in v.FLOATS else v.TYPES[self.config.type][0]}>").alias("vector"), *[F.col(c).cast(_DECLARED.get(t.upper(), t)).alias(c) for c, t in declared.items()])
-        df = self._valid(df)
-        given, new = df.where("id is not null"), df.where("id is null").drop("id")
-        high = given.agg(F.max("id")).first()[0]
-        first = max(self.state.next_id, (high or 0) + 1)
-        with_ids = _numbered(new, first)
-        rows = given.unionByName(with_ids.select(given.columns))
-        twice = rows.groupBy("id").count().where("count > 1").select("id").unionByName(rows.join(self.rows().select("id"), "id", "left_semi").select("id")).limit(1).collect()
-        if twice:
-            raise ValueError(f"UNIQUE constraint failed: {self.config.name}.id = {twice[0]['id']}")
-        n = df.count()
-        self._change(self.rows().unionByName(rows), n, False, first + with_ids.count())
-        return n
+        # The input is evaluated once, into shared storage; what is counted, numbered and checked is read from there.
+        staged = shared_path(self.spark, "staged")
+        valid = self._valid(df).withColumn("_at", F.monotonically_increasing_id())
+        valid.write.parquet(staged)
+        df = self.spark.read.schema(valid.schema).parquet(staged)
+        try:
+            seen = df.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("given"), F.max("id").alias("high")).first()
+            first = max(self.state.next_id, (seen["high"] or 0) + 1)
+            rows = df.where("id is not null").drop("_at")
+            if seen["n"] > seen["given"]:
+                rows = rows.unionByName(_numbered(df.where("id is null").drop("id"), first).select(rows.columns))
+            if seen["given"]:
+                given = df.where("id is not null").select("id")
+                twice = given.groupBy("id").count().where("count > 1").select("id").unionByName(given.join(self.rows().select("id"), "id", "left_semi")).limit(1).collect()
+                if twice:
+                    raise ValueError(f"UNIQUE constraint failed: {self.config.name}.id = {twice[0]['id']}")
+            self._change(rows, seen["n"], False, first + seen["n"] - seen["given"], append=True)
+        finally:
+            discard(self.spark, staged)
+        return seen["n"]
 
     def update(self, where: str, **changes: str) -> None:
         """Set columns to SQL expressions where a predicate holds."""
@@ -301,19 +314,16 @@ class VectorTable:
 
 
 def _numbered(df: DataFrame, first: int) -> DataFrame:
-    """Ids from ``first`` on, without gaps: a number inside the partition, plus the rows of the partitions before."""
+    """Ids from ``first`` on, without gaps, in order of ``_at``: a number inside the partition that made it, plus the rows of those before."""
     from pyspark.sql import Window
 
-    tagged = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    counts = {r["_part"]: r["n"] for r in tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = {}, first
-    for part in sorted(counts):
-        starts[part], total = total, total + counts[part]
-    if not starts:
-        return df.withColumn("id", F.lit(None).cast("bigint")).where("false")
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_part"))
+    tagged = df.withColumn("_part", F.shiftright("_at", 33))
+    counted = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each partition of the input: that many meet in the unpartitioned window.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.select("_part", before.alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    return tagged.withColumn("id", (start + within - 1).cast("bigint")).drop("_part", "_at")
+    return tagged.join(starts, "_part").withColumn("id", (F.lit(first) + F.col("_before") + within - 1).cast("bigint")).drop("_part", "_at", "_before")
 
 
 class Catalog:
@@ -360,7 +370,7 @@ class Catalog:
     def load_index(self, config: Config, number: int) -> tuple[IvfIndex, Covered]:
         read = self._read(f"{self.root}/{config.name}/index-{number:08d}.json")
         rows = self.spark.read.schema(config.schema() + ", cell int").parquet(f"{self.root}/{config.name}/index={number}")
-        return IvfIndex(rows, np.array(read["centroids"]), config.metric, "vector", "id", config.type, dict(map(tuple, read["measured"]))), Covered(**read["covered"])
+        return IvfIndex(rows, np.array(read["centroids"]), config.metric, "vector", "id", config.type, dict(map(tuple, read["measured"]))), Covered(**{**read["covered"], "snapshot": tuple(read["covered"]["snapshot"])})
 
     def create(self, name: str, **args) -> VectorTable:
         config = Config.parse(name, **args)
@@ -382,7 +392,7 @@ class Catalog:
         for key in ("dim", "type", "metric", "mode"):
             if key in args and str(args[key]) != str(getattr(config, key)):
                 raise ValueError(f"config error: {key} of '{name}' is {getattr(config, key)}, not {args[key]}")
-        table = VectorTable(self, config, int(found[-1][9:17]), State(read["snapshot"], read["next_id"], read["changes"], total=read.get("total", 0)), read.get("index"))
+        table = VectorTable(self, config, int(found[-1][9:17]), State(tuple(read["snapshot"]), read["next_id"], read["changes"], total=read.get("total", 0)), read.get("index"))
         self.tables[name] = table
         return table
 
