@@ -34,6 +34,30 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can express: what its verdict is learned from."""
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), quality_rules.DecisionList())
+    return found.select("doc_id", *quality_rules.BASE, "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), made AS (SELECT doc_id, list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' ')) AS grams FROM d WHERE len(words) >= 8),
+places AS (SELECT doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM made),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM places),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM windows WHERE times > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own FROM d),
+counts AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(own) - len(list_distinct(own)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+"""
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -51,6 +75,26 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), jaccard_join.Similar(n=4, percent=85))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams
+  FROM w
+), sized AS (SELECT r, doc_id, grams, len(grams) AS n FROM sets), g AS (SELECT r, doc_id, n, unnest(grams) AS gram FROM sized),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links AS (SELECT DISTINCT a, b FROM pairs), reach AS (
+  SELECT DISTINCT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM sized JOIN lowest ON doc_id = a
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -64,6 +108,24 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM benchmark
+), sized AS (SELECT item, words, least(10, len(words)) AS n FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS gram FROM sized),
+sizes AS (SELECT DISTINCT n FROM sized),
+made AS (SELECT doc_id, n, list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' ')) AS grams FROM d, sizes WHERE len(words) >= n),
+places AS (SELECT doc_id, n, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM made),
+found AS (SELECT doc_id, i, n, item FROM places JOIN windows USING (n, gram)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
 #: The conversation that the contract adds: control strings inside texts.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -104,5 +166,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "quality_base_counts": quality_base_counts,
 }
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op7_decontaminate": OP7_SQL, "quality_base_counts": BASE_SQL, "op9_chat_format": OP9_SQL}
