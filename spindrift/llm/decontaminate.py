@@ -9,7 +9,7 @@ The benchmark's size is measured first. Up to ``block_bytes`` of text it is broa
 about that size, each over all documents, and the ranges of all blocks are united.
 
 Defined cases: a null or empty text has no words and no hits; items without words match nothing; an item of fewer words than n
-is one window; repeated items count one by one; repeated rows, null ids and other columns stay as they are (but for columns named like an added one); empty tables are fine.
+is one window; items that share an id are one item with all their windows; repeated rows, null ids and other columns stay as they are (but for columns named like an added one); empty tables are fine.
 """
 
 from __future__ import annotations

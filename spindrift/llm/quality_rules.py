@@ -131,9 +131,7 @@ class Settings:
     #: Labelled rows to learn from, about: more are thinned by a hash of the id.
     max_rows: int = 20_000
     bins: int = 24
-    max_rules: int = 8
-    max_conditions: int = 3
-    #: A rule must be right on this share of what it covers, and cover this many rows of the growing part.
+    #: Growing ends where no condition gains or none is wrongly covered, the list where no rule is good enough: a rule must be right on this share of what it covers, and cover this many rows of the growing part.
     min_precision: float = 0.9
     min_cover: int = 3
 
@@ -209,7 +207,7 @@ class _Learner:
     def grow(self, rest: Column) -> Rule | None:
         conditions: list[Condition] = []
         good = bad = 0
-        while len(conditions) < self.settings.max_conditions:
+        while True:
             found, g, b = self.best(conditions, rest)
             if found is None:
                 break
@@ -237,7 +235,8 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> DecisionList:
     if not seen["bad"] or seen["bad"] == seen["n"]:
         return DecisionList()
     learner, rules, rest = _Learner(rows, settings), [], F.lit(True)
-    while len(rules) < settings.max_rules and (rule := learner.grow(rest)):
+    # Each rule takes min_cover rows away at least, so this ends.
+    while rule := learner.grow(rest):
         rules.append(rule)
         rest = rest & ~learner.met(rule.conditions)
     return DecisionList(tuple(rules))

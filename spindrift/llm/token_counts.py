@@ -34,8 +34,8 @@ def default_model() -> str:
 
 
 class PieceMerger:
-    #: Pre-tokens held at most; the table starts anew beyond that.
-    MAX_HELD = 600_000
+    #: Bytes of pre-tokens held at most, about; the table starts anew beyond that.
+    MAX_BYTES = 64 << 20
     #: Bytes of new pre-tokens merged at once.
     BATCH_BYTES = 2 << 20
 
@@ -76,6 +76,7 @@ class PieceMerger:
         self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if splits else (lambda x: [x] if x else [])
         self.plain = sp.normalize(" a  b\n") == f"{MARK}{MARK}a{MARK}{MARK}b\n"
         self.held: dict[str, int] = {}
+        self.bytes = 0
 
     def marked(self, text: str) -> str:
         if not text:
@@ -128,12 +129,13 @@ class PieceMerger:
         return counts
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        if len(self.held) > self.MAX_HELD:
-            self.held = {}
+        if self.bytes > self.MAX_BYTES:
+            self.held, self.bytes = {}, 0
         split = [self.split(self.marked(t or "")) for t in texts]
         new = list({t for tokens in split for t in tokens if t not in self.held})
         for a, b in slices(pa.array(new, pa.string()), self.BATCH_BYTES):
             self.held.update(zip(new[a:b], self.merge(new[a:b]).tolist()))
+        self.bytes += sum(map(len, new)) + 160 * len(new)
         get = self.held.__getitem__
         return [sum(map(get, tokens)) for tokens in split]
 
@@ -160,6 +162,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, t
             counts = [n for a, b in slices(texts, 4 << 20) for n in own.counts(texts.slice(a, b - a).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
-    sized = docs.select(*kept, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("_text"))
-    schema = StructType([f for f in sized.schema.fields if f.name != "_text"]).add("n_tokens", LongType())
+    own_name = "_text" + "_" * max((len(c) for c in kept), default=0)
+    sized = docs.select(*kept, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias(own_name))
+    schema = StructType(sized.schema.fields[:-1]).add("n_tokens", LongType())
     return sized.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -84,3 +84,17 @@ def test_stages_against_brute_force(spark):
         removed.append(len(rows) - len(got) + sum(rows[i]["text"] != t for i, t in want.items()))
         rows = {r["doc_id"]: r for r in got}
     assert all(removed)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_awkward_rows(spark, empty):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names, and an empty table, through the chain."""
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a few words\nof text " * 12, None, "s", 3), (3, long, "en", "s", 4), (3, long, "en", "s", 4), (4, long + " end", "en", None, 5)]
+    docs = spark.createDataFrame([] if empty else [(*r, "k", "h", 7, "r") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, keep string, hits string, n_words long, rule string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        new = corpus_pipeline.settle(stage(spark, docs, SF), name)
+        assert set(new.columns) <= set(docs.columns) and {"doc_id", "text", "lang", "source", "n_chars"} <= set(new.columns), name
+        docs = new
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == (set() if empty else {3})
