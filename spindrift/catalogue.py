@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import vectors as v
 from spindrift.functions.registration import register
-from spindrift.operators import knn
+from spindrift.operators import ivf, knn
 from spindrift.operators.ivf import IvfIndex
 from spindrift.plans.knn_plan import Predicate
 from spindrift.sources import codec
@@ -341,6 +341,91 @@ def ivf_knn(spark, sf_dir):
     return found.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance")).orderBy("distance", "vec_id").limit(10)
 
 
+@_sql("SELECT round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM embeddings")
+def arrow_streams(spark, sf_dir):
+    """A stream for each partition, written and read on the executors."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    back = codec.streams_to_vectors(codec.ipc_streams(df, "float4", 64), "float4")
+    return back.select((F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("total"))
+
+
+@_sql(f"SELECT row_number() OVER (ORDER BY id) AS id, CAST(-1 AS BIGINT) AS label, total FROM ({_STATE})")
+def insert_arrow(spark, sf_dir):
+    """One table's vectors exported, and inserted into another, which numbers them."""
+    stream = _seeded(spark, sf_dir).export_arrow()
+    table = _catalog(spark).create("copy", dim=64, type="float8", mode="exact", metadata="label INTEGER")
+    table.insert_arrow(stream)
+    return _state(table)
+
+
+@_sql(_STATE)
+def insert_binary(spark, sf_dir):
+    """Vectors inserted as packed bytes."""
+    packed = codec.pack(_vectors(spark, sf_dir), "float8", "vector", "vector")
+    table = _catalog(spark).create("bytes", dim=64, type="float8", mode="exact", metadata="label INTEGER")
+    table.insert(packed.select(F.col("vec_id").alias("id"), "vector", "label"))
+    return _state(table)
+
+
+def _through_index(table, query) -> DataFrame:
+    found = table.search_index(query, 12, nprobe=table.config.m)
+    return found.select(F.col("id").alias("vec_id"), (F.round("distance", 6) + 0.0).alias("distance")).orderBy("distance", "vec_id").limit(10)
+
+
+@_sql(f"SELECT vec_id, distance FROM ({_RANKED} WHERE vec_id > 5) ORDER BY distance, vec_id LIMIT 10")
+def index_after_delete(spark, sf_dir):
+    """A search of the index after rows that it held are gone."""
+    table = _seeded(spark, sf_dir, "hnsw")
+    table.rebuild_index()
+    table.delete("id <= 5")
+    return _through_index(table, _query(spark, sf_dir))
+
+
+@_sql(f"SELECT vec_id, distance FROM (SELECT vec_id, distance FROM ({_RANKED}) UNION ALL SELECT 1000000, 0.0) ORDER BY distance, vec_id LIMIT 10")
+def index_after_insert(spark, sf_dir):
+    table, query = _seeded(spark, sf_dir, "hnsw"), _query(spark, sf_dir)
+    table.rebuild_index()
+    table.insert(spark.createDataFrame([(1_000_000, query, 0)], "id long, vector array<double>, label long"))
+    return _through_index(table, query)
+
+
+@_sql(ORACLE_SQL["knn_exact_l2"])
+def index_after_rollback(spark, sf_dir):
+    table, query = _seeded(spark, sf_dir, "hnsw"), _query(spark, sf_dir)
+    table.rebuild_index()
+    table.begin()
+    table.delete("label < 5")
+    table.search_index(query, 3).collect()
+    table.rollback()
+    return _through_index(table, query)
+
+
+@_sql(ORACLE_SQL["knn_exact_l2"])
+def index_after_reopen(spark, sf_dir):
+    table = _seeded(spark, sf_dir, "hnsw")
+    table.rebuild_index()
+    return _through_index(Catalog(spark, table.catalog.root).open("emb"), _query(spark, sf_dir))
+
+
+@_sql("SELECT count(*) AS queries, true AS some_cells_only, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def ivf_recall(spark, sf_dir):
+    """Whether default probes, fewer than all cells, find 0.9 of the ten nearest of every hundredth vector."""
+    rows = _vectors(spark, sf_dir)
+    index = IvfIndex.build(rows, cells=16, id_col="vec_id", kind="float8", path=shared_path(spark, "ivf"))
+    queries = [r["vector"] for r in rows.where("vec_id % 100 = 0").orderBy("vec_id").collect()]
+    found = ivf.recall(spark, index, rows, queries, 10)
+    return spark.createDataFrame([(len(queries), index.probes(10) < len(index.centroids), found >= 0.9)], "queries long, some_cells_only boolean, recall_reached boolean")
+
+
+@_sql(f"SELECT vec_id, label, distance FROM ({_RANKED} WHERE label <> 3) ORDER BY distance, vec_id LIMIT 5")
+def sql_knn(spark, sf_dir):
+    """A search from SQL: the table function of a vector table, over its rows and over those that pass a predicate."""
+    table, query = _seeded(spark, sf_dir), _query(spark, sf_dir)
+    table.delete("label = 3")
+    name = table.register_sql(f"v_{uuid.uuid4().hex[:8]}")
+    return spark.sql(f"SELECT id AS vec_id, CAST(label AS INT) AS label, round(distance, 6) + 0D AS distance FROM {name}_knn({v.literal(query)}, 5)")
+
+
 _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 ,.?"
 
 
@@ -419,3 +504,50 @@ def host_set_ops(spark, sf_dir):
 def host_cast_null(spark, sf_dir):
     kind = F.when(F.col("label").isNull(), "null").otherwise((F.col("label") % 2).cast("string"))
     return _vectors(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_sql("SELECT n_name, count(c_custkey) AS n, count(*) FILTER (WHERE c_custkey IS NULL) AS without_customer FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY ALL")
+def host_outer_join(spark, sf_dir):
+    n, c = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer").where("c_acctbal > 9000")
+    return n.join(c, n.n_nationkey == c.c_nationkey, "left").groupBy("n_name").agg(F.count("c_custkey").alias("n"), F.sum(F.col("c_custkey").isNull().cast("long")).alias("without_customer")).select("n_name", "n", "without_customer")
+
+
+@_sql("SELECT a.n_name AS below, b.n_name AS above FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def host_range_join(spark, sf_dir):
+    a, b = _table(spark, sf_dir, "nation").alias("a"), _table(spark, sf_dir, "nation").alias("b")
+    return a.join(b, F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")).select(F.col("a.n_name").alias("below"), F.col("b.n_name").alias("above"))
+
+
+@_sql(
+    "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END)"
+    " OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type <> 'purchase'"
+)
+def host_as_of(spark, sf_dir):
+    """For each other event of a user, the highest purchase so far."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = _table(spark, sf_dir, "events").withColumn("last_purchase", F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(before))
+    return found.where("event_type <> 'purchase'").select("event_id", "last_purchase")
+
+
+@_sql("SELECT coalesce(o_orderstatus, '-') AS status, coalesce(o_orderpriority, '-') AS priority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def host_rollup(spark, sf_dir):
+    found = _table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.coalesce("o_orderstatus", F.lit("-")).alias("status"), F.coalesce("o_orderpriority", F.lit("-")).alias("priority"), "n")
+
+
+@_sql("SELECT coalesce(l_returnflag, '-') AS flag, coalesce(l_linestatus, '-') AS status, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
+def host_grouping_sets(spark, sf_dir):
+    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("host_lineitem")
+    return spark.sql("SELECT coalesce(l_returnflag, '-') AS flag, coalesce(l_linestatus, '-') AS status, count(*) AS n FROM host_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
+
+
+@_sql("SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, upper(substr(o_orderpriority, 1, 3)) AS p, count(*) AS n FROM orders GROUP BY ALL")
+def host_dates_and_strings(spark, sf_dir):
+    day = F.col("o_orderdate")
+    return _table(spark, sf_dir, "orders").groupBy(F.year(day).cast("long").alias("y"), F.month(day).cast("long").alias("m"), F.upper(F.substring("o_orderpriority", 1, 3)).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_sql("SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 2 UNION SELECT r_regionkey FROM region EXCEPT SELECT 3")
+def host_union_except(spark, sf_dir):
+    nation, region = _table(spark, sf_dir, "nation").where("n_regionkey < 2"), _table(spark, sf_dir, "region")
+    return nation.select(F.col("n_nationkey").alias("k")).union(region.select("r_regionkey")).distinct().exceptAll(spark.createDataFrame([(3,)], "k int"))

@@ -13,6 +13,9 @@ from spindrift.functions.vectors import TYPES, check_type
 #: Type name -> numpy type of packed bytes, Arrow type.
 WIRE = {"float2": ("<f2", pa.float16()), "float4": ("<f4", pa.float32()), "float8": ("<f8", pa.float64()), "int1": ("<i1", pa.int8()), "int2": ("<i2", pa.int16()), "int4": ("<i4", pa.int32())}
 
+#: Bytes of vectors in a stream that is made or read in one place.
+MAX_STREAM = 1 << 30
+
 
 def pack_udf():
     """(array, type) -> packed bytes."""
@@ -48,7 +51,13 @@ def unpack(df: DataFrame, name: str, col: str, to: str) -> DataFrame:
 
 
 def vectors_to_ipc(vectors: DataFrame, name: str, order: str = "id", col: str = "vector") -> bytes:
-    """One Arrow IPC stream of one column ``vector``, in order of id, made on the driver; no vectors, no bytes."""
+    """One Arrow IPC stream of one column ``vector``, in order of id, made on the driver; no vectors, no bytes.
+
+    More than MAX_STREAM bytes of vectors are refused: ``ipc_streams`` writes those.
+    """
+    size = vectors.agg(F.sum(F.size(col))).first()[0] or 0
+    if size * TYPES[check_type(name)][1] > MAX_STREAM:
+        raise ValueError(f"{size * TYPES[name][1]} bytes of vectors are too many for one stream; use ipc_streams")
     table = vectors.orderBy(order).select(col).toArrow()
     if not table.num_rows:
         return b""
@@ -80,6 +89,24 @@ def ipc_streams(vectors: DataFrame, name: str, dim: int, order: str = "id", col:
     return vectors.repartitionByRange(order).sortWithinPartitions(order).select(col).mapInArrow(run, "part int, stream binary")
 
 
+def streams_to_vectors(streams: DataFrame, name: str) -> DataFrame:
+    """(part, position, vector) of a table of streams, read where they lie."""
+    kind = TYPES[check_type(name)][0]
+
+    def run(batches):
+        for batch in batches:
+            for part, stream in zip(batch.column("part").to_pylist(), batch.column("stream").to_pylist()):
+                at = 0
+                for piece in pa.ipc.open_stream(stream):
+                    rows = piece.column(0)
+                    values = np.asarray(rows.flatten()).astype(np.float32 if name == "float2" else WIRE[name][0])
+                    ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.type.list_size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array(np.arange(at, at + len(rows))), pa.ListArray.from_arrays(ends, pa.array(values))], ["part", "position", "vector"])
+                    at += len(rows)
+
+    return streams.select("part", "stream").mapInArrow(run, f"part int, position long, vector array<{kind}>")
+
+
 def ipc_to_vectors(spark: SparkSession, stream: bytes, name: str) -> DataFrame:
     """Column 0 of every batch as (position, vector). It must be a fixed-size list of the type's elements."""
     kind = WIRE[check_type(name)][1]

@@ -15,11 +15,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from spindrift.functions import vectors as v
 from spindrift.operators import knn
@@ -92,7 +93,8 @@ class State:
     changes: int = 0
     destructive: bool = False
     total: int = 0
-    pending: DataFrame | None = field(default=None, compare=False)
+    #: Streams by name, and the last batch of each that was inserted.
+    batches: tuple[tuple[str, int], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -119,8 +121,6 @@ class VectorTable:
 
     def rows(self) -> DataFrame:
         """id, vector and the metadata columns."""
-        if self.state.pending is not None:
-            return self.state.pending
         if not self.state.snapshot:
             return self.spark.createDataFrame([], self.config.schema())
         return self.spark.read.schema(self.config.schema()).parquet(*map(self._folder, self.state.snapshot))
@@ -142,7 +142,7 @@ class VectorTable:
         number = self.catalog.next_snapshot(self.config.name)
         df.write.parquet(self._folder(number))
         snapshot = (*self.state.snapshot, number) if append else (number,)
-        self.state = replace(self.state, snapshot=snapshot, pending=None, changes=self.state.changes + n, total=self.state.total + n, destructive=self.state.destructive or destructive, next_id=next_id or self.state.next_id)
+        self.state = replace(self.state, snapshot=snapshot, changes=self.state.changes + n, total=self.state.total + n, destructive=self.state.destructive or destructive, next_id=next_id or self.state.next_id)
         if self.begun is None:
             self._publish()
 
@@ -157,9 +157,18 @@ class VectorTable:
         """A manifest of what is committed: nothing of a transaction that still runs."""
         self.version = self.catalog.publish(self.config, self.version, self.begun or self.state, self.saved)
 
-    def insert(self, df: DataFrame) -> int:
-        """Append rows (vector, and id or metadata as far as there are); ids that are missing continue the highest ever used."""
+    def insert(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Append rows (vector, and id or metadata as far as there are); ids that are missing continue the highest ever used.
+
+        A vector may come as packed bytes. ``batch`` is a stream's name and the number of its batch, which the commit records: a
+        batch that comes again is not inserted again.
+        """
+        seen_batches = dict(self.state.batches)
+        if batch is not None and seen_batches.get(batch[0], -1) >= batch[1]:
+            return 0
         have = df.columns
+        if isinstance(df.schema["vector"].dataType, BinaryType):
+            df = codec.unpack(df, self.config.type, "vector", "vector")
         for c in self.config.columns():
             if c not in have:
                 df = df.withColumn(c, F.lit(None))
@@ -183,6 +192,8 @@ class VectorTable:
                 twice = given.groupBy("id").count().where("count > 1").select("id").unionByName(given.join(self.rows().select("id"), "id", "left_semi")).limit(1).collect()
                 if twice:
                     raise ValueError(f"UNIQUE constraint failed: {self.config.name}.id = {twice[0]['id']}")
+            if batch is not None:
+                self.state = replace(self.state, batches=tuple((seen_batches | {batch[0]: batch[1]}).items()))
             self._change(rows, seen["n"], False, first + seen["n"] - seen["given"], append=True)
         finally:
             discard(self.spark, staged)
@@ -205,6 +216,19 @@ class VectorTable:
         rows, hit = self.rows(), F.coalesce(F.expr(where), F.lit(False))
         self._change(rows.where(~hit), rows.where(hit).count(), True)
 
+    def register_sql(self, name: str | None = None) -> str:
+        """Make the rows, as they are now, a view of the session, and NAME_knn(query, k) a table function beside it: (id, metadata, distance)."""
+        name, c = name or re.sub(r"\W", "_", self.config.name), self.config
+        self.rows().createOrReplaceTempView(name)
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows().schema}
+        columns = ["id", *c.columns()]
+        made = v.distance("vector", "query", c.metric, c.type)
+        self.spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_knn(query ARRAY<DOUBLE>, k INT) RETURNS TABLE ({', '.join(f'`{x}` {kinds[x]}' for x in columns)}, distance DOUBLE)"
+            f" RETURN SELECT {', '.join(f'`{x}`' for x in columns)}, distance FROM (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank_ FROM (SELECT *, {made} AS distance FROM {name})) WHERE rank_ <= {name}_knn.k"
+        )
+        return name
+
     def begin(self) -> None:
         self.begun = self.state
 
@@ -361,7 +385,7 @@ class Catalog:
         return json.loads("".join(r[0] for r in self.spark.read.text(name).collect()))
 
     def publish(self, config: Config, version: int, state: State, saved: int | None = None) -> int:
-        self._write(f"{self.root}/{config.name}/manifest-{version + 1:08d}.json", {"config": asdict(config), "snapshot": state.snapshot, "next_id": state.next_id, "changes": state.changes, "total": state.total, "index": saved})
+        self._write(f"{self.root}/{config.name}/manifest-{version + 1:08d}.json", {"config": asdict(config), "snapshot": state.snapshot, "next_id": state.next_id, "changes": state.changes, "total": state.total, "index": saved, "batches": state.batches})
         return version + 1
 
     def save_index(self, config: Config, index: IvfIndex, covered: Covered) -> None:
@@ -392,7 +416,7 @@ class Catalog:
         for key in ("dim", "type", "metric", "mode"):
             if key in args and str(args[key]) != str(getattr(config, key)):
                 raise ValueError(f"config error: {key} of '{name}' is {getattr(config, key)}, not {args[key]}")
-        table = VectorTable(self, config, int(found[-1][9:17]), State(tuple(read["snapshot"]), read["next_id"], read["changes"], total=read.get("total", 0)), read.get("index"))
+        table = VectorTable(self, config, int(found[-1][9:17]), State(tuple(read["snapshot"]), read["next_id"], read["changes"], total=read["total"], batches=tuple(map(tuple, read["batches"]))), read["index"])
         self.tables[name] = table
         return table
 

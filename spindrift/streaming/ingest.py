@@ -12,13 +12,11 @@ from spindrift.sources.table import VectorTable
 
 
 def append_stream(stream: DataFrame, table: VectorTable, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch becomes one commit of the table. A batch that runs again after a failure is inserted once."""
+    """Each micro-batch becomes one commit of the table, which records the batch's number: one that runs again is inserted once."""
 
     def insert(batch: DataFrame, epoch: int) -> None:
-        if "id" in batch.columns:
-            batch = batch.join(table.rows().select("id"), "id", "left_anti")
         if not batch.isEmpty():
-            table.insert(batch)
+            table.insert(batch, (checkpoint, epoch))
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
