@@ -1,6 +1,10 @@
 """A small SQL shell: statements end with a semicolon, dot commands stand alone.
 
     .help  .exit  .quit  .tables ?PATTERN?  .schema ?TABLE?  .headers on|off  .mode column|csv|line|list
+    .open FOLDER               vector tables under a folder; each is a view, and NAME_knn(query, k) searches it
+    .create NAME dim=N ?type=T? ?metric=M? ?mode=hnsw|exact? ?metadata="a TEXT, b REAL"?
+    .insert NAME VIEW          .info NAME      .rebuild NAME      .sync NAME     .ef_search NAME N
+    .export NAME FILE          .import NAME FILE                  .drop NAME
 """
 
 from __future__ import annotations
@@ -8,14 +12,17 @@ from __future__ import annotations
 import csv
 import fnmatch
 import io
+import shlex
 import sys
 from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
 from spindrift.functions import register
+from spindrift.sources.table import Catalog
 
 HELP = __doc__.split("\n\n", 1)[1].strip()
+VECTOR_COMMANDS = frozenset(".open .create .insert .info .rebuild .sync .ef_search .export .import .drop".split())
 #: Bytes shown of a binary value.
 SHOWN_BYTES = 20
 
@@ -47,12 +54,42 @@ def rendered(columns: list[str], rows: list[list[str]], mode: str, headers: bool
 
 class Shell:
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.mode, self.headers, self.buffer = spark, "list", False, ""
+        self.spark, self.mode, self.headers, self.buffer, self.vectors = spark, "list", False, "", None
         register(spark)
 
+    def vector_command(self, name: str, args: list[str]) -> str:
+        """The output of a command on a vector table; the table is a view again afterwards."""
+        if name == ".open":
+            self.vectors = Catalog(self.spark, args[0])
+            return "\n".join(self.vectors.open(n).register_sql() for n in self.vectors.names())
+        if self.vectors is None:
+            return "no folder is open"
+        if name == ".create":
+            self.vectors.create(args[0], **dict(a.split("=", 1) for a in args[1:])).register_sql()
+            return ""
+        table, out = self.vectors.get(args[0]), ""
+        if name == ".drop":
+            self.vectors.drop(args[0])
+            return ""
+        if name == ".insert":
+            out = str(table.insert(self.spark.table(args[1])))
+        elif name == ".export":
+            with open(args[1], "wb") as f:
+                f.write(table.export_arrow())
+        elif name == ".import":
+            with open(args[1], "rb") as f:
+                out = str(table.insert_arrow(f.read()))
+        else:
+            ways = {".info": table.index_info, ".rebuild": table.rebuild_index, ".sync": table.sync_index, ".ef_search": lambda: table.set_ef_search(int(args[1]))}
+            out = str(ways[name]())
+        table.register_sql()
+        return out
+
     def command(self, line: str) -> str | None:
         """The output of a dot command; None ends the shell."""
-        name, *args = line.split()
+        name, *args = shlex.split(line)
+        if name in VECTOR_COMMANDS:
+            return self.vector_command(name, args)
         if name in (".exit", ".quit"):
             return None
         if name == ".help":

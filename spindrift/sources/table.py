@@ -365,6 +365,10 @@ class Catalog:
         path, fs = self._path(f"{self.root}/{name}")
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
+    def names(self) -> list[str]:
+        """The tables that were committed here."""
+        return sorted(n for n in self._list("") if any(x.startswith("manifest-") for x in self._list(n)))
+
     def next_snapshot(self, name: str) -> int:
         return self._next(name, r"v=(\d+)")
 

@@ -59,6 +59,26 @@ def test_shell(spark):
     assert shell.feed("select 1 as a;") == "a = 1"
 
 
+def test_shell_vector_tables(spark, tmp_path):
+    shell = Shell(spark)
+    assert shell.feed(".info emb") == "no folder is open" and shell.feed(f".open file://{tmp_path}/vectors") == ""
+    assert shell.feed('.create emb dim=3 type=float4 metadata="label TEXT"') == ""
+    spark.createDataFrame([(1, [1.0, 0.0, 0.0], "a"), (2, [0.0, 1.0, 0.0], "b"), (3, [0.0, 0.0, 1.0], "c")], "id long, vector array<double>, label string").createOrReplaceTempView("three")
+    assert shell.feed(".insert emb three") == "3" and shell.feed("select id, label from emb_knn(array(0.9D, 0.1D, 0D), 2);") == "1|a\n2|b"
+    assert shell.feed(".rebuild emb") == "3" and shell.feed(".ef_search emb 32") == "32" and '"ef_search": 32' in shell.feed(".info emb")
+    assert shell.feed(f".export emb {tmp_path}/x") == "" and shell.feed(f".import emb {tmp_path}/x") == "3" and shell.feed("select count(*), max(id) from emb;") == "6|6"
+    assert shell.feed(".sync emb") == "1" and shell.feed(".info nope").startswith("Error")
+    again = Shell(spark)
+    assert again.feed(f".open file://{tmp_path}/vectors") == "emb" and again.feed(".drop emb") == "" and again.vectors.names() == []
+
+
+def test_a_batch_is_inserted_once(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/t")
+    table, rows = catalog.create("s", dim=2, type="float8"), spark.createDataFrame([([1.0, 2.0],)], "vector array<double>")
+    assert [table.insert(rows, ("a", 0)), table.insert(rows, ("a", 0)), table.insert(rows, ("a", 1)), table.insert(rows, ("b", 0))] == [1, 0, 1, 1]
+    assert Catalog(spark, catalog.root).open("s").insert(rows, ("a", 1)) == 0 and sorted(r["id"] for r in table.rows().collect()) == [1, 2, 3]
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(1, 21)], "id long, vector array<double>")
     rows.repartition(4).write.parquet(f"{tmp_path}/in")

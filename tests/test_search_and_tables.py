@@ -228,3 +228,24 @@ def test_default_probes(spark):
         assert recall(spark, index, df, [v.tolist() for v in x[:8]], 10) >= 0.9, metric
         assert index.probes(10) <= index.probes(100) <= index.probes(101) == 16 == index.probes(1, "rare")
     assert sorted(ids(index.search(x[1].tolist(), 2, where="rare"))) == sorted(ids(knn.nearest(df.where("rare"), x[1].tolist(), 2, "ip", kind="float8")))
+
+
+def test_inserts_append(spark, tmp_path, monkeypatch):
+    """An insert adds a folder of its own rows; beyond the limit all rows go into one."""
+    monkeypatch.setattr("spindrift.sources.table.MAX_FOLDERS", 3)
+    table = Catalog(spark, f"file://{tmp_path}/t").create("a", dim=1, type="float8", mode="exact")
+    sizes = []
+    for k in range(5):
+        table.insert(spark.createDataFrame([([float(k)],)], "vector array<double>"))
+        sizes.append(len(table.state.snapshot))
+    assert sizes == [1, 2, 3, 1, 2] and sorted((r["id"], r["vector"][0]) for r in table.rows().collect()) == [(k + 1, float(k)) for k in range(5)]
+    with pytest.raises(ValueError, match="UNIQUE"):
+        table.insert(spark.createDataFrame([(2, [0.0])], "id long, vector array<double>"))
+    assert table.rows().count() == 5
+
+
+def test_streams_of_partitions(spark):
+    rows = spark.createDataFrame([(k, [k + 0.5, float(-k)]) for k in range(50)], "id long, vector array<double>").repartition(5)
+    for kind in ("float2", "float4", "float8", "int2"):
+        back = codec.streams_to_vectors(codec.ipc_streams(rows, kind, 2), kind).orderBy("part", "position").collect()
+        assert [float(r["vector"][1]) for r in back] == [float(-k) for k in range(50)]
