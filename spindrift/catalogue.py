@@ -111,15 +111,22 @@ def knn_count(spark, sf_dir):
     return _search(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_sql(
-    "SELECT qid, vec_id, distance, rank FROM (SELECT q.vec_id AS qid, d.vec_id AS vec_id, round(pow(list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 2), 6) + 0.0 AS distance,"
-    " row_number() OVER (PARTITION BY q.vec_id ORDER BY round(pow(list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 2), 6) + 0.0, d.vec_id) AS rank"
-    " FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0) WHERE rank <= 3"
-)
-def knn_join_top3(spark, sf_dir):
-    data = _vectors(spark, sf_dir)
-    queries = data.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), "vector")
-    return knn.knn_join(queries, data, 3, "l2", id_col="vec_id")
+def _add_join(name: str, every: int, k: int) -> None:
+    def joined(spark, sf_dir):
+        data = _vectors(spark, sf_dir)
+        queries = data.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), "vector")
+        return knn.knn_join(queries, data, k, "l2", id_col="vec_id")
+
+    away = "round(pow(list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 2), 6) + 0.0"
+    QUERIES[name] = joined
+    ORACLE_SQL[name] = (
+        f"SELECT qid, vec_id, distance, rank FROM (SELECT q.vec_id AS qid, d.vec_id AS vec_id, {away} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {away}, d.vec_id) AS rank"
+        f" FROM embeddings q, embeddings d WHERE q.vec_id % {every} = 0) WHERE rank <= {k}"
+    )
+
+
+_add_join("knn_join_top3", 100, 3)
+_add_join("knn_join_100", 20, 10)
 
 
 def _exploded(df: DataFrame, made: str, kind: str = "double") -> DataFrame:
