@@ -4,8 +4,8 @@ Every block starts from the same model and codes alone. In a block, tables keyed
 last two guess the next id, each guess with a confidence that hits raise and misses lower. The pair of confidences
 selects adaptive weights of the order-2 and the order-1 guess; what remains of the range is the order-0 distribution
 over all ids: the upper byte by counts that follow the block, the lower byte given the upper one. The order-0 model starts from
-the counts of the file (``Prior``), which its header holds. A carry-free 64-bit range coder turns one interval for each
-id into 16-bit words; nothing passes by it.
+the counts of the file (``Prior``), which its header holds. A 64-bit range coder turns one interval for each
+id into 32-bit words; nothing passes by it.
 
 Blocks do not depend on each other, so the blocks of a call are coded side by side: step t codes id t of all
 of them with numpy operations over the blocks.
@@ -21,8 +21,8 @@ BLOCK = 4096
 #: Bits of the order-0 distributions, of the weights, and of an interval.
 _SLOT_BITS, _WEIGHT_BITS, _BITS = 12, 16, 28
 _SLOTS, _ONE = 1 << _SLOT_BITS, 1 << _WEIGHT_BITS
-_TOP, _LEAST = np.uint64(48), np.uint64(1 << 32)
-_U16, _UBITS, _MASK = np.uint64(16), np.uint64(_BITS), np.uint64((1 << 32) - 1)
+#: A range of less than this takes or gives a word: one at most for each id, since an id takes _BITS at most.
+_LEAST, _WORD, _UBITS = np.uint64(1 << 32), np.uint64(32), np.uint64(_BITS)
 #: Steps after which the order-0 distribution is renewed: often at first, then each 512.
 _RENEW = frozenset([16, 32, 64, 96, 160, 224, 320, *range(480, BLOCK, 512)])
 #: Weight of the file's counts of upper bytes, and of each id seen in the block.
@@ -72,14 +72,16 @@ class _Model:
         self.lanes, self.base1, self.base2, self.base_c = lanes, lane << _ORDER1, lane << _ORDER2, lane << 4
         # Guess in the lower 16 bits, confidence 0 to 3 above.
         self.table1, self.table2 = np.zeros(lanes << _ORDER1, np.int32), np.zeros(lanes << _ORDER2, np.int32)
-        self.right1, self.right2 = np.full(lanes << 4, 16384, np.int32), np.full(lanes << 4, 16384, np.int32)
+        # How often the guesses were right, of 65536: order 2 in the upper 16 bits, order 1 in the lower.
+        self.right = np.full(lanes << 4, 16384 << 16 | 16384, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.seen = np.tile(1 + prior.upper * _START // _SLOTS, (lanes, 1)).astype(np.int32)
-        self.flat_seen = self.seen.reshape(-1)
         self.base_s, self.base_u, self.base_n = lane * 257, lane * _SLOTS, lane << 8
-        self.renew()
+        self.renew(np.empty((0, lanes), np.uint16))
 
-    def renew(self) -> None:
+    def renew(self, ids: np.ndarray) -> None:
+        """Take the ids (steps, lanes) coded since the last time into the order-0 distribution."""
+        self.seen += _SEEN * np.bincount(((ids >> 8) + self.base_n).reshape(-1), minlength=self.lanes << 8).reshape(self.lanes, 256).astype(np.int32)
         total = np.cumsum(self.seen, axis=1, dtype=np.int64)
         bounds = np.zeros((self.lanes, 257), np.int64)
         bounds[:, 1:] = total * (_SLOTS - 256) // total[:, -1:] + np.arange(1, 257)
@@ -90,13 +92,14 @@ class _Model:
         """Guesses and their weights: the part below f2 is order 2's, that below f21 order 1's, the rest order 0's."""
         self.at1 = self.base1 + _HASH1.take(self.last)
         self.at2 = self.base2 + (_HASH2.take(self.last) ^ _HASH3.take(self.before))
-        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.e1, self.e2 = self.table1.take(self.at1).astype(np.int64), self.table2.take(self.at2).astype(np.int64)
         self.guess1, self.guess2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
         self.sure1, self.sure2 = self.e1 >> 16, self.e2 >> 16
         self.context = self.base_c + ((self.sure2 << 2) + self.sure1)
-        self.p1, self.p2 = self.right1.take(self.context), self.right2.take(self.context)
+        both = self.right.take(self.context)
+        self.p2, self.p1 = both >> 16, both & 0xFFFF
         self.f2 = (self.p2 * 7 >> 3) + 32
-        self.f21 = self.f2 + 32 + ((61000 - self.f2).astype(np.int64) * self.p1 >> _WEIGHT_BITS)
+        self.f21 = self.f2 + 32 + ((61000 - self.f2) * self.p1 >> _WEIGHT_BITS)
         self.rest = _ONE - self.f21
 
     def update(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
@@ -104,34 +107,12 @@ class _Model:
         for table, at, entry, sure, hit in ((self.table1, self.at1, self.e1, self.sure1, hit1), (self.table2, self.at2, self.e2, self.sure2, hit2)):
             new = entry + _CHANGE.take((sure << 1) + hit)
             table[at] = np.where(hit | (sure > 0), new, ids)
-        self.right2[self.context] = self.p2 + ((hit2 * 65535 - self.p2) >> 5)
-        self.right1[self.context] = self.p1 + np.where(hit2, 0, (hit1 * 65535 - self.p1) >> 5)
-        self.flat_seen[self.base_n + (ids >> 8)] += _SEEN
+        p2 = self.p2 + ((hit2 * 65535 - self.p2) >> 5)
+        p1 = np.where(hit2, self.p1, self.p1 + ((hit1 * 65535 - self.p1) >> 5))
+        self.right[self.context] = p2 << 16 | p1
         self.before, self.last = self.last, ids
 
 
-def _open(low: np.ndarray, span: np.ndarray):
-    """Rounds of lanes whose first word is settled, or whose range is too small: then it is cut so that it is.
-
-    The caller takes the word; low and range move on after that.
-    """
-    lanes = None
-    while True:
-        a, b = (low, span) if lanes is None else (low[lanes], span[lanes])
-        settled = ((a ^ (a + b)) >> _TOP) == 0
-        small = (b < _LEAST) & ~settled
-        ready = np.flatnonzero(settled | small)
-        if not len(ready):
-            return
-        if small.any():
-            cut = np.flatnonzero(small) if lanes is None else lanes[small]
-            span[cut] = (~low[cut] + np.uint64(1)) & _MASK
-        lanes = ready if lanes is None else lanes[ready]
-        yield lanes
-        low[lanes] <<= _U16
-        span[lanes] <<= _U16
-
-
 def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[bytes]:
     """The coded bytes of each block of ``ids`` (each under 65536)."""
     n = len(ids)
@@ -144,15 +125,17 @@ def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[byt
     steps, short = min(n, block), n - (lanes - 1) * block
     model = _Model(lanes, prior)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
-    words, used = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    # The first word takes the carry of what has no word before it, and is always 0.
+    words, used = np.zeros((lanes, steps + 8), np.uint32), np.ones(lanes, np.int64)
     flat_words, base_w = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1]
 
-    closed = None
+    closed, renewed = None, 0
     for t in range(steps):
         if t == short and lanes > 1:
-            closed = (low[-1].copy(), used[-1].copy())
+            closed = _tail(low[-1], words[-1], used[-1])
         if t in _RENEW:
-            model.renew()
+            model.renew(grid[renewed:t])
+            renewed = t
         model.predict()
         now = grid[t].astype(np.int64)
         hit2, hit1 = model.guess2 == now, model.guess1 == now
@@ -162,21 +145,38 @@ def encode_blocks(ids: np.ndarray, prior: Prior, block: int = BLOCK) -> list[byt
         begin = wide * prior.start.take(now) >> _SLOT_BITS
         start = (model.f21 << _SLOT_BITS) + model.rest * a + begin
         size = (wide * prior.end.take(now) >> _SLOT_BITS) - begin
-        f2 = model.f2.astype(np.int64) << _SLOT_BITS
+        f2 = model.f2 << _SLOT_BITS
         start = np.where(hit2, 0, np.where(hit1, f2, start))
         size = np.where(hit2, f2, np.where(hit1, (model.f21 << _SLOT_BITS) - f2, size))
         part = span >> _UBITS
-        low = low + part * start.astype(np.uint64)
-        span = part * size.astype(np.uint64)
-        for k in _open(low, span):
-            flat_words[base_w[k] + used[k]] = low[k] >> _TOP
-            used[k] += 1
+        moved = low + part * start.view(np.uint64)
+        span = part * size.view(np.uint64)
+        over = np.flatnonzero(moved < low)
+        if len(over):
+            _carry(flat_words, base_w[over] + used[over] - 1)
+        low = moved
+        ready = np.flatnonzero(span < _LEAST)
+        out = low[ready]
+        flat_words[base_w[ready] + used[ready]] = out >> _WORD
+        used[ready] += 1
+        low[ready], span[ready] = out << _WORD, span[ready] << _WORD
         model.update(now, hit1, hit2)
-    ends = [(low[k], int(used[k])) for k in range(lanes)]
+    ends = [_tail(low[k], words[k], used[k]) for k in range(lanes)]
     if closed is not None:
-        ends[-1] = (closed[0], int(closed[1]))
-    tails = [[(int(x) >> s) & 0xFFFF for s in (48, 32, 16, 0)] for x, _ in ends]
-    return [np.concatenate([words[k, :u], np.array(tails[k], np.uint16)]).astype("<u2").tobytes() for k, (_, u) in enumerate(ends)]
+        ends[-1] = closed
+    return ends
+
+
+def _carry(words: np.ndarray, at: np.ndarray) -> None:
+    """Add one to the number that ends with each of these words."""
+    while len(at):
+        words[at] += np.uint32(1)
+        at = at[words[at] == 0] - 1
+
+
+def _tail(low: np.uint64, words: np.ndarray, used: np.int64) -> bytes:
+    """A block's words so far and what is left of its number."""
+    return np.append(words[1:used], [low >> _WORD, low & np.uint64((1 << 32) - 1)]).astype("<u4").tobytes()
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int], prior: Prior) -> np.ndarray:
@@ -184,27 +184,26 @@ def decode_blocks(coded: list[bytes], sizes: list[int], prior: Prior) -> np.ndar
     lanes, steps = len(coded), max(sizes, default=0)
     if not steps:
         return np.empty(0, np.uint16)
-    lengths = [len(c) // 2 for c in coded]
-    words = np.zeros((lanes, max(lengths) + 16), np.uint16)
+    lengths = [len(c) // 4 for c in coded]
+    words = np.zeros((lanes, max(lengths) + 8), np.uint32)
     for k, c in enumerate(coded):
-        words[k, : lengths[k]] = np.frombuffer(c, "<u2")
+        words[k, : lengths[k]] = np.frombuffer(c, "<u4")
     flat, base, end = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1], words.shape[1] - 1
     model = _Model(lanes, prior)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << _U16) | words[:, k]
-    used = np.full(lanes, 4, np.int64)
-    out = np.zeros((steps, lanes), np.uint16)
+    # How far the number lies above the low end of the range.
+    code, span = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1], np.full(lanes, ~np.uint64(0), np.uint64)
+    used = np.full(lanes, 2, np.int64)
+    out, renewed = np.zeros((steps, lanes), np.uint16), 0
 
     for t in range(steps):
         if t in _RENEW:
-            model.renew()
+            model.renew(out[renewed:t])
+            renewed = t
         model.predict()
-        part = np.maximum(span >> _UBITS, np.uint64(1))
+        part = span >> _UBITS
         # Lanes that have ended go on over zeros, and what they give is cut off.
-        at = np.minimum((code - low) // part, np.uint64((1 << _BITS) - 1)).astype(np.int64)
-        f2, f21 = model.f2.astype(np.int64) << _SLOT_BITS, model.f21 << _SLOT_BITS
+        at = np.minimum(code // part, np.uint64((1 << _BITS) - 1)).view(np.int64)
+        f2, f21 = model.f2 << _SLOT_BITS, model.f21 << _SLOT_BITS
         is2 = at < f2
         is1 = (at < f21) & ~is2
         x = np.maximum(at - f21, 0)
@@ -217,11 +216,12 @@ def decode_blocks(coded: list[bytes], sizes: list[int], prior: Prior) -> np.ndar
         begin = wide * prior.start.take(ids) >> _SLOT_BITS
         start = np.where(is2, 0, np.where(is1, f2, f21 + inside + begin))
         size = np.where(is2, f2, np.where(is1, f21 - f2, (wide * prior.end.take(ids) >> _SLOT_BITS) - begin))
-        low = low + part * start.astype(np.uint64)
-        span = part * size.astype(np.uint64)
-        for k in _open(low, span):
-            code[k] = (code[k] << _U16) | flat[base[k] + np.minimum(used[k], end)]
-            used[k] += 1
+        code = code - part * start.view(np.uint64)
+        span = part * size.view(np.uint64)
+        ready = np.flatnonzero(span < _LEAST)
+        code[ready] = (code[ready] << _WORD) | flat[base[ready] + np.minimum(used[ready], end)]
+        span[ready] <<= _WORD
+        used[ready] += 1
         ids = np.where(is2, model.guess2, np.where(is1, model.guess1, ids))
         out[t] = ids
         model.update(ids, model.guess1 == ids, model.guess2 == ids)
