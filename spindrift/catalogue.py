@@ -424,6 +424,14 @@ def ivf_recall(spark, sf_dir):
     return spark.createDataFrame([(len(queries), index.probes(10) < len(index.centroids), found >= 0.9)], "queries long, some_cells_only boolean, recall_reached boolean")
 
 
+@_sql(f"SELECT vec_id, distance FROM ({_RANKED} WHERE label = 3) ORDER BY distance, vec_id LIMIT 5")
+def knn_match(spark, sf_dir):
+    """A table's rows by a match and a predicate."""
+    table = _seeded(spark, sf_dir)
+    found = table.select([Predicate("vector", "knn_match", _query(spark, sf_dir)), Predicate("label", "=", 3)], limit=5)
+    return found.select(F.col("id").alias("vec_id"), (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @_sql(f"SELECT vec_id, label, distance FROM ({_RANKED} WHERE label <> 3) ORDER BY distance, vec_id LIMIT 5")
 def sql_knn(spark, sf_dir):
     """A search from SQL: the table function of a vector table, over its rows and over those that pass a predicate."""

@@ -259,6 +259,23 @@ class VectorTable:
             raise ValueError(f"distance computation on '{self.config.name}' failed: vector dimensions do not match")
         return knn.search(self.rows(), query, self.config.columns(), where, limit, order_by, offset, self.config.metric, kind=self.config.type)
 
+    def select(self, where: Sequence[Predicate] = (), limit: int | None = None, order_by: Sequence[tuple[str, bool]] = (), offset: int = 0) -> DataFrame:
+        """Rows by predicates. One may be Predicate("vector", "knn_match", query): then the nearest rows, else all that pass, with a null distance."""
+        matches, rest = ([p for p in where if (p.op == "knn_match") == one] for one in (True, False))
+        if len(matches) > 1:
+            raise ValueError("at most one knn_match constraint is supported per query")
+        if matches:
+            if matches[0].column != "vector":
+                raise ValueError("unable to use function knn_match in the requested context")
+            return self.knn(matches[0].value, limit, rest, order_by, offset)
+        found = self.scan()
+        for p in rest:
+            found = found.where(p.sql())
+        if order_by:
+            found = found.orderBy(*[F.col(c) if up else F.col(c).desc() for c, up in order_by])
+        found = found.offset(offset) if offset else found
+        return found if limit is None or limit < 0 else found.limit(limit)
+
     def _indexed(self) -> None:
         if self.config.mode == "exact":
             raise ValueError(f"table '{self.config.name}' uses mode=exact and has no index")

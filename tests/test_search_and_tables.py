@@ -249,3 +249,16 @@ def test_streams_of_partitions(spark):
     for kind in ("float2", "float4", "float8", "int2"):
         back = codec.streams_to_vectors(codec.ipc_streams(rows, kind, 2), kind).orderBy("part", "position").collect()
         assert [float(r["vector"][1]) for r in back] == [float(-k) for k in range(50)]
+
+
+def test_select_takes_one_match(spark, tmp_path):
+    table = Catalog(spark, f"file://{tmp_path}/t").create("a", dim=2, type="float8", mode="exact", metadata="label TEXT")
+    table.insert(rows(spark, [([float(k), 0.0], "ab"[k % 2]) for k in range(6)], ", label string"))
+    match = Predicate("vector", "knn_match", [4.2, 0.0])
+    assert [r["id"] for r in table.select([match, Predicate("label", "=", "b")], limit=2).collect()] == [6, 4]
+    found = table.select([Predicate("label", "=", "b"), Predicate("id", ">", 2)], order_by=[("id", False)], offset=1).collect()
+    assert [(r["id"], r["distance"]) for r in found] == [(4, None)]
+    with pytest.raises(ValueError, match="at most one knn_match constraint is supported per query"):
+        table.select([match, match])
+    with pytest.raises(ValueError, match="knn_match"):
+        table.select([Predicate("label", "knn_match", [4.2, 0.0])])
