@@ -105,7 +105,9 @@ class _Simplex:
 
     def __init__(self, sizes: np.ndarray, demand: np.ndarray, capacity: int) -> None:
         most = (capacity // sizes).astype(float)
-        self.demand, self.basis, self.inverse, self.uses, self.pivots = demand.astype(float), np.diag(most), np.diag(1 / most), demand / most, 0
+        # A trace more than the demand, unlike for each class, so that no pivot is degenerate and none comes back.
+        self.demand = demand + 1e-6 * (1 + np.random.default_rng(1).random(len(sizes)))
+        self.basis, self.inverse, self.uses, self.pivots = np.diag(most), np.diag(1 / most), self.demand / most, 0
 
     def prices(self) -> np.ndarray:
         return self.inverse.sum(axis=0)
@@ -115,9 +117,10 @@ class _Simplex:
         if self.prices() @ column <= 1 + 1e-9:
             return False
         direction = self.inverse @ column
-        able = direction > 1e-9
+        able = direction > 1e-8
         ratios = np.where(able, self.uses / np.where(able, direction, 1), np.inf)
-        out = int(np.argmin(ratios))
+        # Of ties, the largest pivot.
+        out = int(np.argmax(np.where(ratios <= ratios.min() + 1e-10, direction, -np.inf)))
         step = ratios[out]
         self.uses = self.uses - step * direction
         self.uses[out] = step
@@ -160,8 +163,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
         rooms = [r for r in range(capacity, max(0, capacity - ROOMS), -1) if knapsack.worth[r] > 1 + 1e-9]
         if not sum([program.enter(knapsack.pattern(r)) for r in rooms]):
             break
-    uses = np.maximum(np.linalg.solve(program.basis, program.demand), 0)
-    assert np.allclose(program.basis @ uses, demand, atol=1e-6 * max(1, demand.max())), "the linear program misses the demand"
+    uses = np.maximum(np.linalg.solve(program.basis, demand.astype(float)), 0)
+    assert np.allclose(program.basis @ uses, demand, rtol=1e-6, atol=1e-3), "the linear program misses the demand"
     return program.basis.T.round().astype(np.int64), uses, bound
 
 

@@ -389,7 +389,7 @@ def test_column_generation_covers_and_beats_first_fit():
         classes, n = np.unique(np.searchsorted(bounds, lengths), return_counts=True)
         sizes, greedy = np.array(bounds)[classes], sum(t for _, t in packing._first_fit(np.array(bounds)[classes], n, 4096))
         patterns, uses, bound = packing.column_generation(sizes, n, 4096)
-        assert (patterns @ sizes <= 4096).all() and np.allclose(patterns.T @ uses, n) and bound <= uses.sum() + 1e-6 <= greedy + 1e-3
+        assert (patterns @ sizes <= 4096).all() and np.allclose(patterns.T @ uses, n, atol=1e-3) and bound <= uses.sum() + 1e-6 <= greedy + 1e-3
         plan = packing.make_plan(bounds, dict(zip(classes.tolist(), n.tolist())), 4096)
         assert (plan.patterns @ np.array(bounds) <= 4096).all() and ((plan.patterns * plan.times[:, None]).sum(0)[classes] == n).all()
         assert np.ceil(bound - 1e-6) <= plan.times.sum() <= max(greedy, bound * 1.002 + 3)
@@ -400,7 +400,7 @@ def test_column_generation_finds_the_optimum():
     sizes, demand = np.array([6, 10, 16, 34, 51]), np.array([40, 40, 40, 20, 20])
     patterns, uses, bound = packing.column_generation(sizes, demand, 101)
     worst = sum(t for _, t in packing._first_fit(sizes, demand, 101))
-    assert np.allclose(patterns.T @ uses, demand) and bound <= uses.sum() <= min(worst, bound + 1 + 1e-6)
+    assert np.allclose(patterns.T @ uses, demand, atol=1e-3) and bound <= uses.sum() <= min(worst, bound + 1 + 1e-6)
 
 
 def test_token_counts(spark, texts, awkward, nothing):
