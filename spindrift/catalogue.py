@@ -455,10 +455,11 @@ def doc_char_freq_knn(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.lower("text").rlike("[a-z0-9 ,.?]"))
 
     def frequencies(rows: DataFrame) -> DataFrame:
-        # A generated row each time, so that no later expression pulls the counts into itself and repeats them.
-        low = rows.select("doc_id", F.octet_length("text").alias("size"), F.explode(F.array(F.lower("text"))).alias("low"))
-        share = [(F.char_length("low") - F.char_length(F.replace("low", F.lit(c), F.lit("")))).cast("double") / F.greatest("size", F.lit(1)) for c in _CHARS]
-        return low.select("doc_id", F.explode(F.array(F.array(*share))).alias("raw")).select("doc_id", F.expr(v.normalize("raw", "float8")).alias("vector"))
+        """One pass over the characters: each is a row, combined by document before the shuffle."""
+        chars = rows.select("doc_id", F.octet_length("text").alias("size"), F.explode(F.split(F.lower("text"), "")).alias("char")).where(F.col("char").isin(list(_CHARS)))
+        counts = chars.groupBy("doc_id", "size", "char").count()
+        share = [F.coalesce(F.sum(F.when(F.col("char") == c, F.col("count"))), F.lit(0)).cast("double") / F.greatest("size", F.lit(1)) for c in _CHARS]
+        return counts.groupBy("doc_id", "size").agg(F.array(*share).alias("raw")).select("doc_id", F.expr(v.normalize("raw", "float8")).alias("vector"))
 
     df, query = frequencies(docs), frequencies(docs.orderBy("doc_id").limit(1)).first()["vector"]
     found = knn.with_distance(df, query, "cosine", kind="float8").select("doc_id", (F.round("distance", 6) + 0.0).alias("distance"))
