@@ -24,7 +24,7 @@ def test_entry(spark):
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.ORACLE_SQL if n.startswith(("knn", "vector", "host", "distance", "json", "doc"))])
+@pytest.mark.parametrize("name", catalogue.ORACLE_SQL)
 def test_against_sql(spark, name):
     own = catalogue.QUERIES[name](spark, SF)
     db = duckdb.connect()
