@@ -2,13 +2,14 @@
 
 A page is read into lines: the text of a block element, with white space folded. Markup says of a line whether it stands in an
 article container (``article``, ``main`` ...), in a part that is never the article (menus, forms, adverts ...), or in neither.
-Lines in neither are settled by differencing: the pages of a host are ordered by path, a page is aligned with the pages
-before and after it by the longest common subsequence of line hashes, and lines that they share are deleted. A
-neighbour that is a copy of the page (most of its characters are shared) says nothing: the next one takes its place, up to the fourth.
+Every page is differenced: the pages of a host are ordered by path, a page is aligned with the pages
+before and after it by the longest common subsequence of line hashes, and lines in neither that they share are deleted, those that
+they don't share are text. A neighbour that is a copy of the page (most of its characters are shared) says nothing: the next one
+takes its place, up to the fourth.
 
 On real pages, articles quote the same passages, and menus differ from page to page; so differencing alone deletes true text and
-leaves menus. Hence lines inside an article container are never deleted by it, and where a page has such a container, lines
-outside it are left out.
+leaves menus. Hence markup overrules it where it says what a line is: lines inside an article container stay, menus go. A page that has
+no page to be compared with keeps its container alone, or all lines in neither if it has none.
 
 Only line hashes are shuffled for the alignment. The order is cut into blocks of pages with one page of overlap on
 either side, so a host of any size spreads over many tasks, and the pairs don't depend on the partitioning.
@@ -219,21 +220,25 @@ def _ordered(lines: DataFrame) -> DataFrame:
     return numbered.join(firsts, "part").withColumn("at", F.col("first") + F.col("nth")).drop("part", "nth", "first")
 
 
-def shared_lines(page: dict, sides: list[list[dict]]) -> list[int]:
-    """Positions of lines that are neither article nor beside it, and that the nearest page of a side shares; copies are passed over."""
-    lost: set[int] = set()
+def shared_lines(page: dict, sides: list[list[dict]]) -> list[int] | None:
+    """Positions of lines that are neither article nor beside it, and that the nearest page of a side shares; copies are passed over. None: no page to compare with."""
+    lost, compared = set(), False
     for side in sides:
         for other in side:
             common = common_lines(page["hashes"], other["hashes"])
             shared, total = sum(page["sizes"][k] for k in common), max(sum(page["sizes"]), sum(other["sizes"]))
             if 100 * shared < COPY_PERCENT * total:
                 lost.update(k for k in common if page["parts"][k] == NEITHER)
+                compared = True
                 break
-    return sorted(lost)
+    return sorted(lost) if compared else None
 
 
 def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(_hx1, _hx2, _hx_lost): pages that have lines to delete, and their positions."""
+    """(_hx1, _hx2, _hx_lost): pages that differencing has a say on, and the positions of the lines that it deletes.
+
+    Every page is compared. Those left out lose no line, and either have no container or no line in neither.
+    """
     keyed = _keyed(pages, id_col, url_col, html_col)
     placed = _ordered(settle(_lines(keyed, url_col, html_col), "lines"))
     block_of = lambda shift: F.floor((F.col("at") + shift) / BLOCK_PAGES)
@@ -245,9 +250,10 @@ def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         for _, block in groupby(rows, key=lambda row: row["block"]):
             pages, done = list(block), []
             for k, page in enumerate(pages):
-                if page["own"] == page["block"] and not page["whole"]:
+                if page["own"] == page["block"]:
                     sides = [pages[max(0, k - NEAR) : k][::-1], pages[k + 1 : k + 1 + NEAR]]
-                    if lost := shared_lines(page, [[x for x in side if x["host"] == page["host"]] for side in sides]):
+                    lost = shared_lines(page, [[x for x in side if x["host"] == page["host"]] for side in sides])
+                    if lost or lost is not None and page["whole"] and NEITHER in page["parts"]:
                         done.append((page["k1"], page["k2"], lost))
             if done:
                 yield _flags(done)
@@ -261,18 +267,19 @@ def _flags(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def page_text(source: str | None, lost: list[int] | None) -> str:
+    """The text of a page of which differencing deletes ``lost``; None: it was compared with no page, or lost nothing without a container."""
     lines, parts = page_lines(source)
-    if ARTICLE in parts:
+    if lost is None and ARTICLE in parts:
         return "\n".join(x for x, p in zip(lines, parts) if p == ARTICLE)
     gone = set(lost or ())
-    return "\n".join(x for k, (x, p) in enumerate(zip(lines, parts)) if p == NEITHER and k not in gone)
+    return "\n".join(x for k, (x, p) in enumerate(zip(lines, parts)) if p != BESIDES and k not in gone)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """All columns but the html, with text and n_chars (its code points, long)."""
     pages = without(pages, ("text", "n_chars", "_hx1", "_hx2", "_hx_lost"))
     keyed = _keyed(pages, id_col, url_col, html_col)
-    # Few pages have lines to delete where pages mark their articles: Spark sees the size of the written table, and broadcasts it if small.
+    # Few pages have lines in neither where pages mark their articles: Spark sees the size of the written table, and broadcasts it if small.
     met = keyed.join(settle(template_lines(pages, id_col, url_col, html_col), "template"), ["_hx1", "_hx2"], "left")
     kept = [c for c in pages.columns if c != html_col]
     schema = StructType([pages.schema[c] for c in kept]).add("text", StringType()).add("n_chars", LongType())

@@ -205,6 +205,14 @@ def test_html_differencing_against_brute_force(spark):
     assert sum(got[k] != html_extract.page_text(page, None) for k, _, page in rows) > 100
 
 
+def test_html_differences_pages_that_have_a_container(spark):
+    """Lines outside the article that no mark explains: shared ones go, the others are text. The article keeps what pages share."""
+    page = lambda k: f"<body><div>Shop</div><nav>menu {k}</nav><h1>Head {k}</h1><article><p>Story {k} of a long and unlike kind</p><p>Les.</p></article><div>All rights</div>"
+    rows = [*((k, f"http://h/{k}", page(k)) for k in range(70)), (70, "http://alone/", page(70))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: ("" if k == 70 else f"Head {k}\n") + f"Story {k} of a long and unlike kind\nLes." for k in range(71)}
+
+
 def test_html_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(500):
