@@ -10,8 +10,9 @@ two sets that are similar enough must share an n-gram among their first ones (th
 4. Candidates whose parity sketches already differ in more bits than linked sets can are dropped: two sets differ in at least
    as many n-grams as their sketches differ in bits. The rest is verified on the whole sets. Links give components; copies are never expanded into pairs.
 
-The order only decides how many candidates there are, never the result. Frequencies for it come from the n-grams of
-one document in 16; what is frequent there is kept as levels in a table of fixed size, which is broadcast.
+The order only decides how many candidates there are, never the result. Frequencies for it are counted over the n-grams of
+all documents, by the upper half of their hashes: sorted and counted by each task, packed into bins, added up bin by bin. What is
+frequent is kept as levels in a table that grows with the number of frequent n-grams, which is broadcast.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; a text of fewer words than n is one
 n-gram; rows that share an id are one document with the links of all its texts; a null id is one document, of the smallest
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,14 @@ from spindrift.llm.common import id_key, release, settle
 from spindrift.llm.components import connected_components
 from spindrift.llm.word_bpe import slices
 
-_SLOT_BITS = 18
+#: Bits of an n-gram's hash that find its place in the table of levels: the least, and the most (a byte to each place).
+LEAST_BITS, MOST_BITS = 18, 26
 #: Bits of a parity sketch: bit b is the parity of the set's n-grams that hash to b.
 SKETCH_BITS = 1024
-#: Sampled documents: one in so many; n-grams seen less often there count as rare.
-SAMPLE, SEEN = 16, 3
+#: Documents that hold an n-gram, from which it counts as frequent.
+SEEN = 48
+#: Upper bits of a hash that name its bin, of the 32 that are counted; n-grams that a task holds before it packs them.
+BIN_BITS, HELD = 12, 4 << 20
 #: Parts of the n-grams that are shuffled one after the other, a power of two.
 PARTS = 4
 #: Ids of documents that are broadcast at most (8 bytes each); pairs from which they are verified in PARTS parts.
@@ -175,20 +180,73 @@ def _sets(docs: DataFrame, how: Similar) -> DataFrame:
     return docs.select("text", *names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "hashes array<long>"]))
 
 
+def _packed(keys: np.ndarray) -> pa.RecordBatch:
+    """32-bit keys, counted: a row for each bin, with the gaps between its keys and their counts, bytes of one weight together."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    counts, keys = np.diff(np.append(starts, len(keys))).astype(np.uint32), keys[starts]
+    gaps, bins = np.diff(keys, prepend=np.uint32(0)), keys >> np.uint32(32 - BIN_BITS)
+    firsts = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    gaps[firsts] = keys[firsts] & np.uint32((1 << 32 - BIN_BITS) - 1)
+    planes = lambda x: x.view(np.uint8).reshape(-1, 4).T.tobytes()
+    ends = [*firsts[1:].tolist(), len(keys)]
+    packed = [(planes(gaps[a:b]), planes(counts[a:b])) for a, b in zip(firsts.tolist(), ends)]
+    return pa.RecordBatch.from_arrays([pa.array(bins[firsts].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*packed))], ["bin", "gaps", "counts"])
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _frequent(docs: DataFrame, how: Similar) -> DataFrame:
+    """(level, keys): upper halves of the hashes of n-grams that SEEN documents or more hold, by the logarithm of that number. Every document counts."""
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            for own in shingles(batch.column(0), how.n):
+                held.append((own >> np.uint64(32)).astype(np.uint32))
+                size += len(own)
+                if size >= HELD:
+                    yield _packed(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield _packed(np.concatenate(held))
+
+    def add(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for at, own in groupby(rows, key=lambda row: row[0]):
+            gaps, counts = zip(*((_unpacked(x), _unpacked(y)) for _, x, y in own))
+            keys, counts = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in gaps]), np.concatenate(counts)
+            order = np.argsort(keys, kind="stable")
+            keys, starts = keys[order], np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+            sums = np.add.reduceat(counts[order].astype(np.int64), starts)
+            often = sums >= SEEN
+            found, levels = keys[starts][often] + np.uint32(at << 32 - BIN_BITS), np.log2(sums[often]).astype(np.int32)
+            if len(found):
+                kept = [(int(k), found[levels == k].tobytes()) for k in np.unique(levels)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (pa.int32(), pa.binary()))], ["level", "keys"])
+
+    packed = docs.select("text").mapInArrow(count, "bin int, gaps binary, counts binary")
+    return settle(packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(add, "level int, keys binary"), "frequent")
+
+
 def _levels(docs: DataFrame, how: Similar) -> np.ndarray:
-    """By the upper bits of an n-gram's hash: 0, or the logarithm of how often it was seen. A table of fixed size."""
-    seen = _sets(docs.where(F.pmod(F.xxhash64("d"), F.lit(SAMPLE)) == 0).select("text"), how).select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= SEEN)
-    known = settle(seen.select("h", F.floor(F.log2("count")).cast("int").alias("level")), "frequent")
-    least, left = 1, 1 << (_SLOT_BITS - 1)
-    for row in sorted(known.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        left -= row["count"]
+    """By the upper bits of an n-gram's hash: 0, or the logarithm of the number of documents that hold it. At most half the places are taken."""
+    known = _frequent(docs, how)
+    sizes = sorted(((r["level"], r["n"]) for r in known.groupBy("level").agg(F.sum(F.length("keys") / 4).cast("long").alias("n")).collect()), reverse=True)
+    bits = min(MOST_BITS, max(LEAST_BITS, sum(n for _, n in sizes).bit_length() + 1))
+    least, left = 1, 1 << (bits - 1)
+    for level, n in sizes:
+        left -= n
         if left < 0:
-            least = row["level"] + 1
+            least = level + 1
             break
-    table = np.zeros(1 << _SLOT_BITS, np.uint8)
-    slot = F.shiftrightunsigned("h", 64 - _SLOT_BITS).cast("int")
-    for row in known.where(F.col("level") >= least).groupBy(slot.alias("slot")).agg(F.max("level").alias("level")).toLocalIterator():
-        table[row["slot"]] = row["level"]
+    table = np.zeros(1 << bits, np.uint8)
+    for row in known.where(F.col("level") >= least).toLocalIterator():
+        at = np.frombuffer(row["keys"], np.uint32) >> np.uint32(32 - bits)
+        table[at] = np.maximum(table[at], row["level"])
+    release(known)
     return table
 
 
@@ -200,7 +258,7 @@ def _prefixes(docs: DataFrame, how: Similar, table) -> DataFrame:
 
     def run(batches):
         levels = table.value
-        shift, other = np.uint64(64 - _SLOT_BITS), np.uint64(0xD6E8FEB86659FD93)
+        shift, other = np.uint64(65 - len(levels).bit_length()), np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             rows, prefixes, sketches = [], [], []
             for s in shingles(batch.column(1), how.n):

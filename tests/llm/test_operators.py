@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,6 +471,25 @@ def test_jaccard_join(spark, n, percent):
         assert sorted(r["doc_id"] for r in jaccard_join.keep_first(df, how).collect()) == [i for i, _, c in want if i == c]
 
 
+@pytest.mark.parametrize("held", [1000, 4 << 20])
+def test_ngram_order_counts_every_document(spark, monkeypatch, held):
+    """The level of each frequent n-gram is that of its count over all documents, however many there are."""
+    monkeypatch.setattr(jaccard_join, "HELD", held)
+    monkeypatch.setattr(jaccard_join, "LEAST_BITS", 8)
+    rng = random.Random(6)
+    texts = [None, "", *(" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(rng.randrange(1, 40))) for _ in range(2000))]
+    how = jaccard_join.Similar(n=2)
+    levels = jaccard_join._levels(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), how)
+    counts = Counter(int(h) for own in jaccard_join.shingles(pa.array(texts, pa.string()), 2) for h in own)
+    frequent = {h: n.bit_length() - 1 for h, n in counts.items() if n >= jaccard_join.SEEN}
+    assert len(levels) >= 2 * len(frequent) > 512
+    want = np.zeros(len(levels), np.uint8)
+    for h, level in frequent.items():
+        at = h >> (65 - len(levels).bit_length())
+        want[at] = max(want[at], level)
+    assert (levels == want).all()
+
+
 def test_jaccard_join_awkward(spark, awkward, nothing):
     got = jaccard_join.link(awkward).collect()
     assert len(got) == 13 and Counter(r["component_id"] for r in got)[8] == 3
