@@ -419,9 +419,9 @@ def ivf_recall(spark, sf_dir):
     """Whether default probes, fewer than all cells, find 0.9 of the ten nearest of every hundredth vector."""
     rows = _vectors(spark, sf_dir)
     index = IvfIndex.build(rows, cells=16, id_col="vec_id", kind="float8", path=shared_path(spark, "ivf"))
-    queries = [r["vector"] for r in rows.where("vec_id % 100 = 0").orderBy("vec_id").collect()]
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vector")
     found = ivf.recall(spark, index, rows, queries, 10)
-    return spark.createDataFrame([(len(queries), index.probes(10) < len(index.centroids), found >= 0.9)], "queries long, some_cells_only boolean, recall_reached boolean")
+    return spark.createDataFrame([(queries.count(), index.probes(10) < len(index.centroids), found >= 0.9)], "queries long, some_cells_only boolean, recall_reached boolean")
 
 
 @_sql(f"SELECT vec_id, distance FROM ({_RANKED} WHERE label = 3) ORDER BY distance, vec_id LIMIT 5")

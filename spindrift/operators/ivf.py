@@ -22,11 +22,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators.knn import nearest
+from spindrift.operators.knn import knn_join, nearest
 
 
 #: The share of neighbours that default probes are to find in the sample, the k that it is measured for, and rows of the sample and queries among them.
 AIM, MEASURED_K, SAMPLE_ROWS, SAMPLE_QUERIES = 0.95, (10, 100), 4096, 256
+#: Decimals of distances that many searches at once are ordered by; equal ones are ordered by id.
+DIGITS = 9
 
 
 class IvfIndex:
@@ -112,16 +114,45 @@ class IvfIndex:
                 return nearest(probed.drop("cell"), query, k, self.metric, self.vector, self.id_col, self.kind)
             nprobe *= 2
 
+    def search_many(self, queries: DataFrame, k: int, nprobe: int | None = None, query_id: str = "qid", query_vector: str = "vector", digits: int = DIGITS) -> DataFrame:
+        """(query_id, id, distance, rank): what ``search`` finds for each query, all in one pass over the rows. Each row is met by the queries that probe its cell."""
+        least, cells = nprobe or self.probes(k), len(self.centroids)
+        held = np.zeros(cells, np.int64)
+        for row in self.rows.groupBy("cell").count().collect():
+            held[row["cell"]] = row["count"]
+
+        def reach(matrix: np.ndarray) -> np.ndarray:
+            order = self._cell_order(matrix)
+            seen, probed = np.cumsum(held[order], axis=1), np.full(len(matrix), min(least, cells))
+            while (few := (probed < cells) & (seen[np.arange(len(matrix)), probed - 1] < k)).any():
+                probed[few] = np.minimum(2 * probed[few], cells)
+            meets = np.zeros((len(matrix), cells), bool)
+            np.put_along_axis(meets, order, np.arange(cells)[None] < probed[:, None], axis=1)
+            return meets
+
+        return knn_join(queries, self.rows, k, self.metric, query_id, query_vector, self.id_col, self.vector, digits, reach=("cell", reach))
+
+    def _cell_order(self, matrix: np.ndarray) -> np.ndarray:
+        """The cells from near to far, by query."""
+        if self.metric == "ip":
+            return np.argsort(-(matrix @ self.centroids.T), axis=1, kind="stable")
+        if self.metric == "cosine":
+            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        return np.argsort((self.centroids * self.centroids).sum(1)[None] - 2 * matrix @ self.centroids.T, axis=1, kind="stable")
+
     def reconcile(self, data: DataFrame, path: str | None = None) -> IvfIndex:
         """The index of ``data`` as it is now: its rows, vectors and other columns, in cells around the same centroids."""
         assigned = data.withColumn("cell", self._cell(self.centroids, self.metric)(F.col(self.vector).cast("array<double>")))
         return IvfIndex(self._kept(assigned, path), self.centroids, self.metric, self.vector, self.id_col, self.kind, self.measured)
 
 
-def recall(spark: SparkSession, index: IvfIndex, exact: DataFrame, queries: list[Sequence[float]], k: int, nprobe: int | None = None) -> float:
-    """The share of true neighbours that the index finds."""
-    hit = 0
-    for q in queries:
-        true = {r[index.id_col] for r in nearest(exact, q, k, index.metric, index.vector, index.id_col, index.kind).collect()}
-        hit += len(true & {r[index.id_col] for r in index.search(q, k, nprobe).collect()})
-    return hit / (k * len(queries))
+def recall(spark: SparkSession, index: IvfIndex, exact: DataFrame, queries: list[Sequence[float]] | DataFrame, k: int, nprobe: int | None = None) -> float:
+    """The share of true neighbours that the index finds; ``queries``: vectors, or a table (qid, vector).
+
+    Both sides answer all queries in one pass each, so neither jobs nor what the driver holds at once grow with the queries.
+    """
+    if not isinstance(queries, DataFrame):
+        queries = spark.createDataFrame([(n, [float(x) for x in q]) for n, q in enumerate(queries)], "qid long, vector array<double>")
+    true = knn_join(queries, exact, k, index.metric, "qid", "vector", index.id_col, index.vector, DIGITS)
+    met = true.join(index.search_many(queries, k, nprobe).select("qid", index.id_col), ["qid", index.id_col], "left_semi")
+    return met.count() / (k * queries.count())

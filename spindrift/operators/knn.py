@@ -10,7 +10,7 @@ query. The table is never shuffled, and neither side has to be small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +68,11 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.where(norms > 0, 1 - dots / np.where(norms > 0, norms, 1), 1.0)
 
 
-def knn_join(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", query_id: str = "qid", query_vector: str = "vector", id_col: str = "id", vector: str = "vector", digits: int = 6, exclude_same: bool = False) -> DataFrame:
+def knn_join(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", query_id: str = "qid", query_vector: str = "vector", id_col: str = "id", vector: str = "vector", digits: int = 6, exclude_same: bool = False, reach: tuple[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """(query_id, id_col, distance, rank): the k nearest rows of ``data`` for each query, ordered by rounded distance and id.
 
-    ``exclude_same`` leaves out the row with the query's own id.
+    ``exclude_same`` leaves out the row with the query's own id. ``reach``: a column of ``data``, from 0, and a function of the query
+    matrix that says, by query and value of that column, whether they meet; others don't.
     """
     check_metric(metric)
     spark = queries.sparkSession
@@ -84,36 +85,52 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", qu
         got = part.toArrow()
         ids = np.asarray(got.column("q"))
         flat = np.asarray(got.column("v").combine_chunks().flatten()) if len(ids) else np.empty(0)
-        held = spark.sparkContext.broadcast((ids, flat.reshape(len(ids), -1) if len(ids) else np.empty((0, 1))))
+        matrix = flat.reshape(len(ids), -1) if len(ids) else np.empty((0, 1))
+        held = spark.sparkContext.broadcast((ids, matrix, reach[1](matrix) if reach and len(ids) else None))
 
         def answer(batches, held=held):
-            ids, matrix = held.value
+            ids, matrix, meets = held.value
             if not len(ids):
                 return
             # The k best of each query so far; an infinite distance is an empty place.
             best, best_ids = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            step = max(1, SCORES // len(ids))
+
+            def meet(asked, rows, vectors):
+                """Rows in order of id meet the queries at these places."""
+                scores = np.round(_scores(matrix[asked], vectors, metric), digits) + 0.0
+                if exclude_same:
+                    scores[rows[None, :] == ids[asked][:, None]] = np.inf
+                # Only queries that a row could better are sorted.
+                closer = np.flatnonzero((scores <= best[asked, -1:]).any(axis=1))
+                asked, scores = asked[closer], scores[closer]
+                # A stable sort settles ties by id.
+                top = np.argsort(scores, axis=1, kind="stable")[:, :k]
+                all_scores = np.concatenate([best[asked], np.take_along_axis(scores, top, axis=1)], axis=1)
+                all_ids = np.concatenate([best_ids[asked], rows[top]], axis=1)
+                first = np.lexsort((all_ids, all_scores), axis=1)[:, :k]
+                best[asked], best_ids[asked] = np.take_along_axis(all_scores, first, axis=1), np.take_along_axis(all_ids, first, axis=1)
+
+            everyone = np.arange(len(ids))
             for batch in batches:
                 rows, flat = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten())
-                vectors = flat.reshape(len(rows), -1) if len(rows) else flat
-                for at in range(0, len(rows), step):
-                    some = rows[at : at + step]
-                    order = np.argsort(some, kind="stable")
-                    some = some[order]
-                    scores = np.round(_scores(matrix, vectors[at : at + step][order], metric), digits) + 0.0
-                    if exclude_same:
-                        scores[some[None, :] == ids[:, None]] = np.inf
-                    # Rows come in order of id, so a stable sort settles ties by id.
-                    top = np.argsort(scores, axis=1, kind="stable")[:, :k]
-                    all_scores = np.concatenate([best, np.take_along_axis(scores, top, axis=1)], axis=1)
-                    all_ids = np.concatenate([best_ids, some[top]], axis=1)
-                    first = np.lexsort((all_ids, all_scores), axis=1)[:, :k]
-                    best, best_ids = np.take_along_axis(all_scores, first, axis=1), np.take_along_axis(all_ids, first, axis=1)
+                if not len(rows):
+                    continue
+                vectors, groups = flat.reshape(len(rows), -1), [(everyone, np.arange(len(rows)))]
+                if meets is not None:
+                    own = np.asarray(batch.column(2))
+                    groups = [(np.flatnonzero(meets[:, value]), np.flatnonzero(own == value)) for value in np.unique(own)]
+                for asked, places in groups:
+                    step = max(1, SCORES // max(1, len(asked)))
+                    for at in range(0, len(places) if len(asked) else 0, step):
+                        some = places[at : at + step]
+                        some = some[np.argsort(rows[some], kind="stable")]
+                        meet(asked, rows[some], vectors[some])
             found = np.isfinite(best)
             if found.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(axis=1))), pa.array(best_ids[found]), pa.array(best[found])], ["q", "id", "distance"])
 
-        some = data.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(answer, "q long, id long, distance double")
+        columns = [F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(reach[0]).cast("int").alias("at")] if reach else [])]
+        some = data.select(*columns).mapInArrow(answer, "q long, id long, distance double")
         answers = some if answers is None else answers.unionByName(some)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("id").alias(id_col), "distance", F.col("rank").cast("long").alias("rank"))

@@ -230,6 +230,26 @@ def test_default_probes(spark):
     assert sorted(ids(index.search(x[1].tolist(), 2, where="rare"))) == sorted(ids(knn.nearest(df.where("rare"), x[1].tolist(), 2, "ip", kind="float8")))
 
 
+def test_many_searches_in_one_pass(spark, monkeypatch):
+    """All queries at once find what each finds alone, ties and widened probes too; recall runs no job for a query."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.tile(rng.normal(size=(1, 8)), (40, 1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    queries = df.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    monkeypatch.setattr(knn, "SCORES", 64)
+    for metric in ("l2", "cosine", "ip"):
+        index = IvfIndex.build(df, cells=8, metric=metric, kind="float8")
+        for k, nprobe in ((5, 2), (5, None), (120, 1), (400, 1)):
+            got = {}
+            for r in index.search_many(queries, k, nprobe).orderBy("qid", "rank").collect():
+                got.setdefault(r["qid"], []).append(r["id"])
+            for q in (0, 140, 320):
+                alone = index.search(x[q].tolist(), k, nprobe).withColumn("distance", F.round("distance", 9) + 0.0).orderBy("distance", "id")
+                assert got[q] == ids(alone), (metric, k, nprobe, q)
+    monkeypatch.setattr(IvfIndex, "search", None)
+    assert 0 < recall(spark, index, df, queries, 10, 1) < recall(spark, index, df, queries, 10, 8) == 1.0
+
+
 def test_inserts_append(spark, tmp_path, monkeypatch):
     """An insert adds a folder of its own rows; beyond the limit all rows go into one."""
     monkeypatch.setattr("spindrift.sources.table.MAX_FOLDERS", 3)
