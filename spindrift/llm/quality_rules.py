@@ -128,8 +128,6 @@ class DecisionList:
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled rows to learn from, about: more are thinned by a hash of the id.
-    max_rows: int = 20_000
     bins: int = 24
     #: Growing ends where no condition gains or none is wrongly covered, the list where no rule is good enough: a rule must be right on this share of what it covers, and cover this many rows of the growing part.
     min_precision: float = 0.9
@@ -139,9 +137,6 @@ class Settings:
 def labelled_counts(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Counts, label and fold of the documents to learn from, written to shared storage."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_q_id"), F.col(label_col).alias("_q_label"))
-    total = max(known.count(), 1)
-    if total > settings.max_rows:
-        known = known.where(F.pmod(F.xxhash64("_q_id"), F.lit(1 << 30)) < int((1 << 30) * settings.max_rows / total))
     rows = text_counts(docs.select(id_col, "text").join(known, F.col(id_col) == F.col("_q_id")).select("_q_id", "_q_label", "text"))
     fold = F.pmod(F.xxhash64(F.lit(1), "_q_id"), F.lit(3))
     kept = rows.where(~base_failed()).withColumns({"bad": (F.col("_q_label") == 0).cast("int"), "prune": fold == 0})

@@ -126,6 +126,13 @@ def test_quality_rules_generalise(spark):
     assert quality_rules.learn(quality_rules.labelled_counts(docs, none, settings), settings).rules == ()
 
 
+def test_quality_rules_learn_from_every_label(spark):
+    """However many labels there are, none is left out."""
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence("id", F.col("id") + 24)).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality_rules.labelled_counts(docs, labels, quality_rules.Settings()).count() == 25_000
+
+
 # HTML
 
 
