@@ -28,6 +28,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = (*BASE, "n_lines", "n_same_next")
 
 
 def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -35,7 +36,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Windows are compared by 64-bit hashes within one text.
     """
-    docs = without(docs, (*BASE, "n_lines", "n_same_next"))
+    docs = without(docs, COUNTS)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.expr(r"transform(filter(_q_lines, x -> x rlike '[^ \\x09-\\x0D]'), x -> xxhash64(x))")
     step = docs.withColumns({"_q_words": words(text), "_q_lines": F.split(text, "\n", -1)})
@@ -136,11 +137,16 @@ class Settings:
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Counts, label and fold of the documents to learn from, written to shared storage."""
+    return _labelled(text_counts(docs.select(id_col, "text")), labels, id_col, label_col)
+
+
+def _labelled(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """``labelled_counts`` of documents that have their counts: these meet the labels, whose number grows with the documents', and no text does."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_q_id"), F.col(label_col).alias("_q_label"))
-    rows = text_counts(docs.select(id_col, "text").join(known, F.col(id_col) == F.col("_q_id")).select("_q_id", "_q_label", "text"))
+    own = counted.select(F.col(id_col).alias("_q_doc"), *COUNTS).where(~base_failed())
+    kept = own.join(known, F.col("_q_doc") == F.col("_q_id"))
     fold = F.pmod(F.xxhash64(F.lit(1), "_q_id"), F.lit(3))
-    kept = rows.where(~base_failed()).withColumns({"bad": (F.col("_q_label") == 0).cast("int"), "prune": fold == 0})
-    return settle(kept.select(*BASE, "n_lines", "n_same_next", "bad", "prune"), "labelled")
+    return settle(kept.withColumns({"bad": (F.col("_q_label") == 0).cast("int"), "prune": fold == 0}).select(*COUNTS, "bad", "prune"), "labelled")
 
 
 class _Learner:
@@ -237,10 +243,18 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> DecisionList:
     return DecisionList(tuple(rules))
 
 
+def _judged(counted: DataFrame, rules: DecisionList) -> DataFrame:
+    return counted.withColumns({"base_failed": base_failed(), "rule": rules.fired()}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """Adds the counts, base_failed, rule (the one that rejects, from 0) and kept."""
-    return text_counts(docs).withColumns({"base_failed": base_failed(), "rule": rules.fired()}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return _judged(text_counts(docs), rules)
 
 
-def learn_and_judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    return judge(docs, learn(labelled_counts(docs, labels, settings), settings))
+def learn_and_judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), with_text: bool = True) -> DataFrame:
+    """``judge`` by the rules learned from all labelled rows. Without the text, it is read and counted once; else once more to judge."""
+    counted = text_counts(docs)
+    if not with_text:
+        counted = settle(counted.drop("text"), "counted")
+    return _judged(counted, learn(_labelled(counted, labels), settings))

@@ -30,7 +30,7 @@ FROM lines LEFT JOIN shared USING (key) GROUP BY doc_id
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.learn_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality_rules.learn_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
     return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 

@@ -133,6 +133,18 @@ def test_quality_rules_learn_from_every_label(spark):
     assert quality_rules.labelled_counts(docs, labels, quality_rules.Settings()).count() == 25_000
 
 
+def test_quality_rules_shuffle_no_text(spark, monkeypatch):
+    """However many labels there are, counts meet them, not texts; the verdict is the same with the text and without."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    plans, settle = {}, quality_rules.settle
+    monkeypatch.setattr(quality_rules, "settle", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or settle(df, name))
+    whole = quality_rules.learn_and_judge(docs, labels)
+    assert plans["labelled"].index("Join Inner") < plans["labelled"].index("Generate inline")
+    short = quality_rules.learn_and_judge(docs, labels, with_text=False)
+    assert short.columns == [c for c in whole.columns if c != "text"] and "text" in whole.columns
+    assert short.count() == docs.count() and not short.exceptAll(whole.drop("text")).count()
+
+
 # HTML
 
 
