@@ -43,7 +43,9 @@ SKETCH_BITS = 1024
 #: Documents that hold an n-gram, from which it counts as frequent.
 SEEN = 48
 #: Upper bits of a hash that name its bin, of the 32 that are counted; n-grams that a task holds before it packs them.
-BIN_BITS, HELD = 12, 4 << 20
+BIN_BITS, HELD = 12, 1 << 19
+#: Bytes of text, about, whose sets a task holds before it hands their rows on; one text at least.
+PIECE_BYTES = 4 << 20
 #: Parts of the n-grams that are shuffled one after the other, a power of two.
 PARTS = 4
 #: Ids of documents that are broadcast at most (8 bytes each); pairs from which they are verified in PARTS parts.
@@ -83,7 +85,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at once; bytes from which a word is hashed by itself.
-SLICE_BYTES, LONG_WORD = 1 << 20, 1 << 16
+SLICE_BYTES, LONG_WORD = 1 << 18, 1 << 16
 _STEP = 0x9E3779B97F4A7C15
 #: A value for each byte, A-Z as a-z.
 _VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
@@ -164,6 +166,13 @@ def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield from _ngrams(np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8), at[1:] - at[0], n)
 
 
+def _pieces(batches, text: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to PIECE_BYTES in the column ``text``: sets are several times their text, and Spark's batches are bounded by rows alone."""
+    for batch in batches:
+        for a, b in slices(batch.column(text), PIECE_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.uint64)]).view(np.int64)))
@@ -174,7 +183,7 @@ def _sets(docs: DataFrame, how: Similar) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(list(shingles(batch.column(0), how.n)))], [*names, "hashes"])
 
     return docs.select("text", *names).mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "hashes array<long>"]))
@@ -259,7 +268,7 @@ def _prefixes(docs: DataFrame, how: Similar, table) -> DataFrame:
     def run(batches):
         levels = table.value
         shift, other = np.uint64(65 - len(levels).bit_length()), np.uint64(0xD6E8FEB86659FD93)
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             rows, prefixes, sketches = [], [], []
             for s in shingles(batch.column(1), how.n):
                 # The set is in order of hash, so a stable sort by level orders by level and hash.

@@ -472,6 +472,28 @@ def brute_components(rows, n, percent):
     return sorted((i, len(s), find(i)) for i, s in sets)
 
 
+def test_jaccard_rows_are_handed_on_in_pieces():
+    """A task holds the sets of a few megabytes of text, however many rows Spark gives it at once."""
+    texts = [" ".join(f"{i}x{k}" for k in range(20_000)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, ""]), pa.array(range(62), pa.int64())], ["text", "d"])
+
+    class Table:
+        columns = ["text", "d"]
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    how = jaccard_join.Similar(4, 85)
+    got = list(jaccard_join._sets(Table(), how)(iter([batch])))
+    assert len(got) > 1 and max(sum(len(t) for t in batch["text"].take(b["d"]).to_pylist() if t) for b in got) <= jaccard_join.PIECE_BYTES
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["d"] for r in rows] == list(range(62))
+    assert [r["hashes"] for r in rows] == [s.view(np.int64).tolist() for s in jaccard_join.shingles(batch["text"], 4)]
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 50)])
 def test_jaccard_join(spark, n, percent):
     texts = [*corpus(7, 90), *AWKWARD[:5], "one two", "one two", "ONE TWO", LONG, LONG + " end"]
