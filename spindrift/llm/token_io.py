@@ -8,7 +8,7 @@ and a small table says which shards there are. A shard is
             per block u32 ids, u32 bytes, u32 crc32 of the ids, u32 crc32 of the bytes,
             the document table (zlib): i64 ids, then u64 sizes,
             the order-0 model that every block starts from (zlib),
-    the blocks' bytes.
+    the blocks' bytes: of each stripe u16 words, then the stripes' words (u32).
 
 With the header, each block decodes alone, and is checked twice. Files are written under a name of the attempt and then
 moved, so a task that runs again leaves the same file. They go to shared storage through pyarrow's file systems.
@@ -33,7 +33,7 @@ from spindrift.llm.common import settle, shared_path
 from spindrift.llm.mixing_coder import BLOCK, Prior, checksum, decode_blocks, encode_blocks
 from spindrift.llm.word_bpe import default_tokenizer, slices, word_bpe
 
-MAGIC, VERSION = b"SPMIXER\n", 2
+MAGIC, VERSION = b"SPMIXER\n", 3
 #: Ids of a shard, about, and ids decoded side by side.
 SHARD_IDS = 10_000_000
 NULL_ID = -(2**63)

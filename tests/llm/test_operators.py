@@ -347,6 +347,23 @@ def test_mixing_coder(ids):
                 token_io.read_shard(shard[:at] + bytes([shard[at] ^ 1]) + shard[at + 1 :])
 
 
+def test_mixing_coder_steps(monkeypatch):
+    """A quarter of a block's ids are steps, whatever the number of blocks, and stripes of any length come back."""
+    ids = np.random.default_rng(1).zipf(1.3, 3 * 4096) % 49152
+    prior, steps, predict = mixing_coder.Prior.of(ids), [], mixing_coder._Model.predict
+    monkeypatch.setattr(mixing_coder._Model, "predict", lambda self: steps.append(self.lanes) or predict(self))
+    coded = mixing_coder.encode_blocks(ids, prior)
+    assert steps == [12] * 1024
+    assert np.array_equal(mixing_coder.decode_blocks(coded, [4096] * 3, prior), ids) and steps == [12] * 2048
+    for n in (1, 2, 3, 5, 6, 7, 63, 64, 65, 4095, 4097, 4098, 8191):
+        coded, sizes = mixing_coder.encode_blocks(ids[:n], prior), [4096] * (n // 4096) + [n % 4096] * (n % 4096 > 0)
+        assert np.array_equal(mixing_coder.decode_blocks(coded, sizes, prior), ids[:n])
+        for i, (c, k) in enumerate(zip(coded, sizes, strict=True)):
+            assert np.array_equal(mixing_coder.decode_blocks([c], [k], prior), ids[i * 4096 : i * 4096 + k])
+    # The last word of a stripe may carry.
+    assert np.frombuffer(mixing_coder._tail(np.uint64(2**64 - 1), np.array([0, 5, 2**32 - 1, 0], np.uint32), 3), "<u4").tolist() == [6, 0, 0]
+
+
 def test_mixing_coder_compresses(spark, monkeypatch):
     """On real ids: fewer bytes than zlib on the same blocks and than their order-0 entropy; each order lowers the size."""
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
