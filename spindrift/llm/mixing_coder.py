@@ -139,7 +139,9 @@ class _Model:
         new += self.entry - (1 << 16)
         new -= (new & (1 << 18)) >> 2
         new ^= (new ^ ids.astype(np.int32)) & (new >> 31)
-        self.table[self.at] = new
+        # One stripe after the other: where two of a block learn at one place, the later one counts.
+        for s in range(STRIPES):
+            self.table[self.at[:, s::STRIPES]] = new[:, s::STRIPES]
         self.before, self.hash = self.hash, _HASH.take(ids)
 
 
