@@ -71,7 +71,8 @@ class WordBpe:
     def _rows(self, words: pa.Array, table: dict[str, int], ids_of: Callable[[str], list[int]]) -> np.ndarray:
         """The entry of each word; new ones are added."""
         coded = words.dictionary_encode()
-        unlike = coded.dictionary.to_pylist()
+        # Through numpy: to_pylist makes an Arrow scalar of each word first.
+        unlike = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(table.get, unlike))
         for k in [k for k, row in enumerate(found) if row is None]:
             found[k] = table[unlike[k]] = self._put(ids_of(unlike[k]))
@@ -123,7 +124,9 @@ def _spread(flat: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> tuple[n
     """The runs of ``flat`` from each first on, one after the other, and where each ends."""
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(firsts - (ends - counts), counts) + np.arange(total)], ends
+    at = np.repeat(firsts - (ends - counts), counts)
+    at += np.arange(total)
+    return flat.take(at), ends
 
 
 _held: dict[str, WordBpe] = {}
